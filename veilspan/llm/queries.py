@@ -5,11 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from veilspan.llm import quality
+from veilspan.llm import langid, quality
+from veilspan.llm.textexpr import crc_mod
 from veilspan.session import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = langid.learn(documents, where="crc32(cast(cast(doc_id AS string) AS binary)) % 5 <> 0")
+    found = langid.identify(documents, model)
+    return found.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     rules = quality.learn(documents, table(spark, sf_dir, "labels"))
@@ -17,6 +26,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op3_quality_rules": op3_quality_rules,
 }
 
