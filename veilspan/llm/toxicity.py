@@ -7,7 +7,8 @@ left between voters within the classes shrink the votes of voters that say the s
 posteriors label the training texts, and a linear classifier (logistic) is trained on them
 over word and word-beginning features. Scoring sees the text alone.
 
-Training reads at most `max_train` labelled rows of each class (smallest id hashes).
+Training reads at most `max_train` labelled rows of each class and as many others, which
+only show how common words are (smallest id hashes).
 Scoring covers every whole text.
 
 Defined results: null and empty texts get the score of a text without features. Without
@@ -107,17 +108,17 @@ class ToxicityModel:
 
 
 def _mine(sets: list[set[str]], y: np.ndarray, most: int = 600) -> list[str]:
-    """Features that stand in the toxic class far more often, best first."""
+    """Features that stand in the toxic class far more often, best first. y: 0, 1, or -1 for unlabelled."""
     seen: dict[str, list[int]] = {}
     for s, label in zip(sets, y):
         for f in s:
-            seen.setdefault(f, [0, 0])[label] += 1
-    n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
+            seen.setdefault(f, [0, 0, 0])[label] += 1
+    n = [max(1, int((y == c).sum())) for c in (0, 1, -1)]
     ranked = []
-    for f, (b, a) in seen.items():
-        p, q = a / n1, b / n0
-        if a >= max(4, 0.002 * n1) and p > 8 * q:
-            ranked.append((-(p - 3 * q), f))
+    for f, counts in seen.items():
+        clean, toxic, background = (c / m for c, m in zip(counts, n))
+        if counts[1] >= max(3, 0.01 * n[1]) and toxic > 30 * clean and toxic > 3 * background:
+            ranked.append((-(toxic - 3 * clean), f))
     return [f for _, f in sorted(ranked)[:most]]
 
 
@@ -141,11 +142,14 @@ def _train(sets: list[set[str]], target: np.ndarray, vocabulary: list[str], step
 
 
 def fit(texts: list[str], labels: list[int]) -> ToxicityModel:
+    """labels: 0, 1, or -1 for unlabelled texts, which only show how common features are."""
     y = np.array(labels, np.int64)
-    if len(y) == 0 or y.min() == y.max():
+    if not (y == 0).any() or not (y == 1).any():
         return ToxicityModel()
     sets = [features(t) for t in texts]
     mined = _mine(sets, y)
+    known = np.flatnonzero(y >= 0)
+    sets, texts, y = [sets[i] for i in known], [texts[i] for i in known], y[known]
     words, beginnings = [f for f in mined if not f.endswith("*")], [f for f in mined if f.endswith("*")]
     voters = [set(SEED_NOUNS), set(SEED_ADJECTIVES), *[set(words[i::6]) for i in range(6)], *[set(beginnings[i::4]) for i in range(4)]]
     votes = np.array([[bool(s & v) for v in voters] + [bool(SEED_PATTERN.search(t))] for s, t in zip(sets, texts)], float)
@@ -164,13 +168,16 @@ def fit(texts: list[str], labels: list[int]) -> ToxicityModel:
 def learn(documents: DataFrame, labels: DataFrame, where: str = "true", max_train: int = MAX_TRAIN, text: str = "text") -> ToxicityModel:
     """Fit on labelled rows (doc_id, toxic 0/1) that satisfy `where`, `max_train` of each class.
 
-    The ids are chosen from the labels alone; they are broadcast (8 bytes each, at most
-    2 * max_train), so only the sampled texts leave the scan.
+    The ids are chosen first, with as many unlabelled ones for word frequencies; they are broadcast (8 bytes each, at most
+    3 * max_train), so only the sampled texts leave the scan.
     """
     marked = labels.where(f"({where}) AND toxic IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     ids = []
     for label in (0, 1):
         ids += marked.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).collect()
+    background = documents.where(f"({where}) AND doc_id IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(max_train)
+    known = {r[0] for r in ids}
+    ids += [(r[0], -1) for r in background.collect() if r[0] not in known]
     spark = documents.sparkSession
     chosen = spark.createDataFrame([(r[0], r[1]) for r in ids], "doc_id long, toxic int").dropDuplicates(["doc_id"])
     rows = documents.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
