@@ -26,17 +26,20 @@ import unicodedata
 import zlib
 from bisect import bisect_left
 from collections import deque
+from struct import pack as pack_ids
 
 import numpy as np
 from pyspark.sql import DataFrame
 
 from veilspan.llm.arrowtext import blocks
+from veilspan.llm.wordpiece import byte_alphabet
 
 CAPACITY = 4096
 HORIZON = 64 * CAPACITY
 #: Cost of a cut at a sentence end and inside a sentence, in tokens of padding.
 SENTENCE_PENALTY, INNER_PENALTY = 4.0, 48.0
-MEMORY = 400_000
+#: Distinct runs a worker remembers, twice over.
+MEMORY = 300_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -44,13 +47,14 @@ class WordEncoder:
     """Token ids of whole texts, as the tokenizer file gives them, with words remembered.
 
     The file's own steps are NFC, white space, lower case, a split into words that never
-    depends on neighbours, and BPE inside each word. Texts of the scripts below are split here
-    and each distinct word is encoded once; any other text goes through the tokenizer whole.
+    crosses white space or depends on what lies beyond it, and BPE inside each word. So the ids
+    of a run between white space are always the same: each distinct run is encoded once, many
+    at a time. Only texts of the characters below are taken apart like that; any other text
+    goes through the tokenizer whole.
     """
 
-    #: Characters for which lower-casing and NFC act on each character alone.
-    PLAIN = r"[\x00-\x7F -įĲ-ſ‐-‧‰-⁞€]*+"
-
+    #: Characters for which lower-casing, NFC and white space are the same for Python and the file.
+    PLAIN = r"[\x00-\x1B\x20-\x7F\xA1-\xA3\xA5-\xB4\xB6-\u012F\u0132-\u017E\u2010-\u2027\u2030-\u205E\u20AC]*+"
     def __init__(self, path: str, end_id: int):
         import json
 
@@ -60,38 +64,69 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.load(open(path, encoding="utf-8"))
         steps = spec["pre_tokenizer"]["pretokenizers"]
-        known = [n["type"] for n in spec["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"] and [s["type"] for s in steps] == ["Split", "ByteLevel"]
+        known = [n["type"] for n in spec["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in steps] == ["Split", "ByteLevel"]
         self.split = regex.compile(steps[0]["pattern"]["Regex"]).findall if known else None
+        self.model = self.tokenizer.model
+        self.letters = dict(byte_alphabet())
         self.plain = regex.compile(self.PLAIN).fullmatch
         self.special = tuple(t["content"] for t in spec["added_tokens"])
         self.end = np.array([end_id], "<u4").tobytes()
         self.seen: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def run(self, run: str) -> bytes:
+        ids = []
+        for word in self.split(run):
+            ids += [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
+        return pack_ids(f"<{len(ids)}I", *ids)
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text, then the end id."""
+        out, runs, seen = [], [], self.seen
+        for text in texts:
+            if self.split is None or not self.plain(text) or any(s in text for s in self.special):
+                runs.append(None)
+            else:
+                runs.append(unicodedata.normalize("NFC", text).lower().split())
+        new = set()
+        for part in runs:
+            if part:
+                new.update(part)
+        if len(seen) + len(new) > MEMORY:  # the last generation stays at hand, the one before goes
+            self.before, self.seen = seen, {}
+            seen = self.seen
+        before = self.before
+        for w in new:
+            if w not in seen:
+                seen[w] = before[w] if w in before else self.run(w)
+        for text, part in zip(texts, runs):
+            out.append((self.whole(text) if part is None else b"".join(map(seen.__getitem__, part))) + self.end)
+        return out
+
     def __call__(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids, then the end id."""
-        if not self.split or not self.plain(text) or any(s in text for s in self.special):
-            return self.whole(text) + self.end
-        found = self.split(unicodedata.normalize("NFC", text).lower())
-        seen = self.seen
-        new = [w for w in set(found).difference(seen)]
-        if new:
-            if len(seen) + len(new) > MEMORY:
-                seen.clear()
-                new = list(set(found))
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                seen[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(seen.__getitem__, found)) + self.end
-
-
-def plan(cuts: list[int], costs: list[float], capacity: int = CAPACITY, last: bool = True) -> list[int]:
+        return self.many([text])[0]
+
+
+#: Encoders of this Python worker, kept from task to task.
+_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
+
+
+def encoder(path: str, end_id: int) -> WordEncoder:
+    if (path, end_id) not in _ENCODERS:
+        _ENCODERS[path, end_id] = WordEncoder(path, end_id)
+    return _ENCODERS[path, end_id]
+
+
+def plan(cuts: list[int], costs: list[float], capacity: int = CAPACITY, least_power: int = 1) -> list[int]:
     """Ends of the windows over [0, cuts[-1]). cuts: candidates in ascending order, the last one is the end.
 
-    The distance between neighbouring candidates is `capacity` at most.
+    The distance between neighbouring candidates is `capacity` at most. least_power: the
+    shortest window that is left unpadded on purpose.
     """
-    powers = [1 << k for k in range(capacity.bit_length() - 1, -1, -1)]
+    powers = [p for k in range(capacity.bit_length() - 1, -1, -1) if (p := 1 << k) >= least_power]
     where = [0, *cuts]
     f, back = [0.0], [0]
     queue: deque[int] = deque([0])
@@ -166,7 +201,7 @@ class Packer:
             tail = sorted({total - t for t in _tails(total, self.capacity)} - set(cuts.tolist()) - {0})
             order = np.argsort(all_cuts := np.r_[cuts, np.array(tail, np.int64)], kind="stable")
             cuts, cost = all_cuts[order], np.r_[cost, np.full(len(tail), INNER_PENALTY)][order]
-        ends = plan(cuts.tolist(), cost.tolist(), self.capacity)
+        ends = plan(cuts.tolist(), cost.tolist(), self.capacity, 1 if final else self.capacity // 16)
         if not final and len(ends) > 1:
             ends = ends[: max(1, bisect_left(ends, total - 2 * self.capacity))]
         return self._emit(ends)
@@ -215,7 +250,7 @@ def pack(documents: DataFrame, tokenizer: str, end_id: int = 2, text: str = "tex
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        encode = WordEncoder(tokenizer, end_id)
+        encode = encoder(tokenizer, end_id)
         stops = [encode.whole(s) for s in (".", "!", "?", "…", "...", "。", "!!", "?!")]
         packer = Packer(TaskContext.get().partitionId(), np.unique(np.concatenate([np.frombuffer(s, "<u4")[-1:] for s in stops])), capacity)
 
@@ -223,7 +258,7 @@ def pack(documents: DataFrame, tokenizer: str, end_id: int = 2, text: str = "tex
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
         for part, texts in blocks(batches, text):
-            rows = [row for i, t in zip(part.column(0).to_pylist(), texts) for row in packer.add(i, encode(t))]
+            rows = [row for i, ids in zip(part.column(0).to_pylist(), encode.many(texts)) for row in packer.add(i, ids)]
             if rows:
                 yield batch(rows)
         if rows := packer.flush(True):
