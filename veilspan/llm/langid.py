@@ -155,3 +155,20 @@ def identify(documents: DataFrame, model: LanguageModel, text: str = "text", id_
         return step
 
     return map_texts(documents, [id_column, text], text, f"{id_column} {kind}, lang_pred string, score double", work)
+
+
+def identify_rows(documents: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
+    """All columns of `documents` with _lang_pred and _lang_score beside them (no join, no shuffle)."""
+    import pyarrow as pa
+    from pyspark.sql.types import StructType
+
+    from veilspan.llm.arrowtext import blocks
+
+    schema = StructType([*documents.schema, *StructType.fromDDL("_lang_pred string, _lang_score double")])
+
+    def run(batches):
+        for part, texts in blocks(batches, text):
+            langs, scores = model.predict(texts)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, "_lang_pred", "_lang_score"])
+
+    return documents.mapInArrow(run, schema)
