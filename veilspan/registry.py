@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "b1_tokenize"
+FLAGSHIP = "j3_flip_rate"
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_ORACLES: dict[str, str] = {}
+_ORACLES: dict[str, str | Callable[[], str]] = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | Callable[[], str] | None = None):
     """Register a query under `name`, with its oracle if there is one."""
 
     def add(function):
@@ -26,6 +26,7 @@ def query(name: str, sql: str | None = None):
 
 def _load() -> None:
     """The modules of veilspan.plans register their queries when imported."""
+    from veilspan.plans import core  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -35,4 +36,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     _load()
-    return dict(_ORACLES)
+    return {k: v() if callable(v) else v for k, v in _ORACLES.items()}
