@@ -77,11 +77,20 @@ class WordEncoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def word(self, word: str) -> bytes:
+        known = self.seen.get(word) or self.before.get(word)
+        if known is None:
+            ids = [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))]
+            known = self.seen[word] = pack_ids(f"<{len(ids)}I", *ids)
+        return known
+
     def run(self, run: str) -> bytes:
-        ids = []
-        for word in self.split(run):
-            ids += [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
-        return pack_ids(f"<{len(ids)}I", *ids)
+        # Letters alone are one word; so are the letters before a last mark, and the mark.
+        if run.isalpha():
+            return self.word(run)
+        if run[-1] in ".,;:!?" and run[:-1].isalpha():
+            return self.word(run[:-1]) + self.word(run[-1])
+        return b"".join(map(self.word, self.split(run)))
 
     def many(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, then the end id."""
@@ -99,9 +108,8 @@ class WordEncoder:
             self.before, self.seen = seen, {}
             seen = self.seen
         before = self.before
-        for w in new:
-            if w not in seen:
-                seen[w] = before[w] if w in before else self.run(w)
+        for w in new.difference(seen):
+            seen[w] = before[w] if w in before else self.run(w)
         for text, part in zip(texts, runs):
             out.append((self.whole(text) if part is None else b"".join(map(seen.__getitem__, part))) + self.end)
         return out
