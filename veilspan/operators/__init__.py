@@ -1 +1 @@
-
+"""DataFrame operators that SQL does not express."""

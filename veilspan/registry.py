@@ -26,7 +26,7 @@ def query(name: str, sql: str | Callable[[], str] | None = None):
 
 def _load() -> None:
     """The modules of veilspan.plans register their queries when imported."""
-    from veilspan.plans import analysis, core  # noqa: F401
+    from veilspan.plans import analysis, core, operators  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1 +1 @@
-
+"""Row-local operators on streams."""
