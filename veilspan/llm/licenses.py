@@ -106,7 +106,7 @@ def base_places(documents: DataFrame, text: str = "text", id_column: str = "doc_
         for w in phrase.split():
             one = one & F.contains("_t", F.lit(w))
         may = may | one
-    rows = lowered.select(id_column, F.regexp_count("_t", F.lit(ALNUM_RE)).cast("long").alias("n_words"), pinned(F.when(may, words(F.col("_t"), ALNUM_RE))).alias("_w"))
+    rows = lowered.select(id_column, F.size(words(F.col("_t"), ALNUM_RE)).cast("long").alias("n_words"), pinned(F.when(may, words(F.col("_t"), ALNUM_RE))).alias("_w"))
 
     def found(i: Column) -> Column:
         """Numbers of the phrases that start at word i."""

@@ -20,9 +20,16 @@ def ascii_lower(text: Column) -> Column:
     return F.lower(F.replace(F.replace(text, F.lit("K"), F.lit("ĸ")), F.lit("İ"), F.lit("ĸ")))
 
 
+#: What lies between the words of each kind.
+BETWEEN = {WORD_RE: r"[\x20\x09-\x0D]+", ALNUM_RE: r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"}
+
+
 def words(text: Column, pattern: str) -> Column:
-    """All matches of `pattern`, in order; null counts as an empty text."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({pattern})"), F.lit(1))
+    """All words of kind `pattern`, in order; null counts as an empty text.
+
+    Splitting between the words costs a fraction of extracting them one match at a time.
+    """
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), BETWEEN[pattern], -1), "")
 
 
 def gram_hashes(tokens: Column, k: int) -> Column:
