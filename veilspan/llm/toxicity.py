@@ -19,6 +19,7 @@ score over one half). Repeated rows get equal scores; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -39,7 +40,7 @@ SEED_ADJECTIVES = "stupid pathetic worthless disgusting dumb despicable vile fil
 SEED_PATTERN = re.compile(r"\b(?:you|u|they|he|she)(?:\s+are|'re|\s+is|\s+r)\s+(?:all\s+|just\s+|such\s+)?(?:an?\s+)?(?:" + "|".join(SEED_NOUNS + SEED_ADJECTIVES) + r")\b", re.I)
 
 
-def features(text: str, memory: dict | None = None) -> set[str]:
+def features(text: str) -> set[str]:
     """Distinct words, and beginnings of longer words as `abcd*`."""
     out: set[str] = set()
     for w in set(WORD.findall(text.lower())):
@@ -107,18 +108,26 @@ class ToxicityModel:
         return 1 / (1 + float(np.exp(-max(-40.0, min(40.0, z)))))
 
 
-def _mine(sets: list[set[str]], y: np.ndarray, most: int = 600) -> list[str]:
-    """Features that stand in the toxic class far more often, best first. y: 0, 1, or -1 for unlabelled."""
-    seen: dict[str, list[int]] = {}
-    for s, label in zip(sets, y):
-        for f in s:
-            seen.setdefault(f, [0, 0, 0])[label] += 1
-    n = [max(1, int((y == c).sum())) for c in (0, 1, -1)]
+def _mine(texts: list[str], y: np.ndarray, most: int = 600) -> list[str]:
+    """Features that stand in the toxic class far more often, best first. y: 0, 1, or -1 for unlabelled.
+
+    Only features of toxic texts can qualify, so only those are counted elsewhere.
+    """
+    n = {c: max(1, int((y == c).sum())) for c in (0, 1, -1)}
+    toxic: Counter[str] = Counter()
+    for text, label in zip(texts, y):
+        if label == 1:
+            toxic.update(features(text))
+    toxic = Counter({f: c for f, c in toxic.items() if c >= max(3, 0.01 * n[1])})
+    other = {0: Counter(), -1: Counter()}
+    for text, label in zip(texts, y):
+        if label != 1:
+            other[int(label)].update(features(text) & toxic.keys())
     ranked = []
-    for f, counts in seen.items():
-        clean, toxic, background = (c / m for c, m in zip(counts, n))
-        if counts[1] >= max(3, 0.01 * n[1]) and toxic > 30 * clean and toxic > 3 * background:
-            ranked.append((-(toxic - 3 * clean), f))
+    for f, count in toxic.items():
+        share, clean, background = count / n[1], other[0][f] / n[0], other[-1][f] / n[-1]
+        if share > 30 * clean and share > 3 * background:
+            ranked.append((-(share - 3 * clean), f))
     return [f for _, f in sorted(ranked)[:most]]
 
 
@@ -146,10 +155,11 @@ def fit(texts: list[str], labels: list[int]) -> ToxicityModel:
     y = np.array(labels, np.int64)
     if not (y == 0).any() or not (y == 1).any():
         return ToxicityModel()
-    sets = [features(t) for t in texts]
-    mined = _mine(sets, y)
-    known = np.flatnonzero(y >= 0)
-    sets, texts, y = [sets[i] for i in known], [texts[i] for i in known], y[known]
+    mined = _mine(texts, y)
+    vocabulary = sorted(set(mined) | set(SEED_NOUNS) | set(SEED_ADJECTIVES))
+    known, wanted = np.flatnonzero(y >= 0), set(vocabulary)
+    texts, y = [texts[i] for i in known], y[known]
+    sets = [features(t) & wanted for t in texts]
     words, beginnings = [f for f in mined if not f.endswith("*")], [f for f in mined if f.endswith("*")]
     voters = [set(SEED_NOUNS), set(SEED_ADJECTIVES), *[set(words[i::6]) for i in range(6)], *[set(beginnings[i::4]) for i in range(4)]]
     votes = np.array([[bool(s & v) for v in voters] + [bool(SEED_PATTERN.search(t))] for s, t in zip(sets, texts)], float)
@@ -159,8 +169,6 @@ def fit(texts: list[str], labels: list[int]) -> ToxicityModel:
     # Mixture classes start from the share of voters that fire and from the marks given.
     label_model = LabelModel.fit(votes, 0.5 * y + 0.5 * (votes.mean(1) > 0))
     target = label_model.posterior(votes)
-    # Classes are sampled evenly per class and not as they occur; rare ones weigh what they hold.
-    vocabulary = sorted(set(mined) | set(SEED_NOUNS) | set(SEED_ADJECTIVES))
     weights, bias = _train(sets, target, vocabulary)
     return ToxicityModel(weights, bias, label_model)
 
@@ -181,7 +189,7 @@ def learn(documents: DataFrame, labels: DataFrame, where: str = "true", max_trai
     spark = documents.sparkSession
     chosen = spark.createDataFrame([(r[0], r[1]) for r in ids], "doc_id long, toxic int").dropDuplicates(["doc_id"])
     rows = documents.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
-    found = sorted((r[0], r[1] or "", r[2]) for r in rows.toLocalIterator())
+    found = sorted((r[0], r[1] or "", r[2]) for r in rows.collect())
     return fit([t for _, t, _ in found], [c for _, _, c in found])
 
 
