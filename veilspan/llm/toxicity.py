@@ -30,6 +30,7 @@ from veilspan.llm.arrowtext import map_texts
 
 MAX_TRAIN = 4000
 THRESHOLD = 0.3
+MARK_ACCURACY = 0.95
 WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 PREFIXES = (4, 5, 6)
 MEMORY = 400_000
@@ -51,15 +52,20 @@ def features(text: str) -> set[str]:
 
 @dataclass
 class LabelModel:
-    """P(voter fires | class) for each voter, and the weight that correlation leaves to it."""
+    """P(voter fires | class) for each voter, and the weight that correlation leaves to it.
+
+    A voter that does not fire abstains: a text in one language says nothing about the lexicons
+    of another. Texts where all abstain are the vote of a last voter, for clean.
+    """
 
     prior: float
     rates: np.ndarray
     weight: np.ndarray
 
     @classmethod
-    def fit(cls, votes: np.ndarray, start: np.ndarray, rounds: int = 50) -> LabelModel:
-        q = np.clip(start.astype(float), 0.02, 0.98)
+    def fit(cls, votes: np.ndarray, marks: np.ndarray, rounds: int = 50) -> LabelModel:
+        """marks: the labels at hand (0 or 1), one more voter, of the known accuracy MARK_ACCURACY."""
+        q = np.clip(marks.astype(float), 0.02, 0.98)
         n_voters = votes.shape[1]
         weight = np.ones(n_voters)
         model = cls(0.5, np.full((2, n_voters), 0.5), weight)
@@ -72,16 +78,17 @@ class LabelModel:
                 scale = np.sqrt(np.outer(np.diag(cov), np.diag(cov))) + 1e-9
                 weight = 1 / (1 + np.clip(cov / scale - np.eye(n_voters), 0, 1).sum(1))
             model = cls(float(np.clip(mass[1] / len(q), 0.01, 0.99)), rates, weight)
-            new = model.posterior(votes)
+            new = model.posterior(votes, marks)
             if np.abs(new - q).max() < 1e-6 and k > 3:
                 break
             q = new
         return model
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
+    def posterior(self, votes: np.ndarray, marks: np.ndarray | None = None) -> np.ndarray:
         r0, r1 = self.rates
-        yes, no = np.log(r1 / r0) * self.weight, np.log((1 - r1) / (1 - r0)) * self.weight
-        z = np.log(self.prior / (1 - self.prior)) + votes @ yes + (1 - votes) @ no
+        z = np.log(self.prior / (1 - self.prior)) + votes @ (np.log(r1 / r0) * self.weight)
+        if marks is not None:
+            z = z + (2 * marks - 1) * np.log(MARK_ACCURACY / (1 - MARK_ACCURACY))
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
@@ -118,13 +125,20 @@ def _mine(texts: list[str], y: np.ndarray, most: int = 600) -> list[str]:
     for text, label in zip(texts, y):
         if label == 1:
             toxic.update(features(text))
-    toxic = Counter({f: c for f, c in toxic.items() if c >= max(3, 0.01 * n[1])})
+    toxic = Counter({f: c for f, c in toxic.items() if c >= max(3, 0.008 * n[1])})
     other = {0: Counter(), -1: Counter()}
     for text, label in zip(texts, y):
         if label != 1:
             other[int(label)].update(features(text) & toxic.keys())
+    longest: dict[str, int] = {}  # the count of the commonest word with each beginning
+    for f, count in toxic.items():
+        for k in PREFIXES:
+            if not f.endswith("*") and len(f) > k:
+                longest[f[:k] + "*"] = max(count, longest.get(f[:k] + "*", 0))
     ranked = []
     for f, count in toxic.items():
+        if longest.get(f, 0) >= 0.8 * count:
+            continue  # a beginning that stands for one word adds only chance hits
         share, clean, background = count / n[1], other[0][f] / n[0], other[-1][f] / n[-1]
         if share > 30 * clean and share > 3 * background:
             ranked.append((-(share - 3 * clean), f))
@@ -166,9 +180,9 @@ def fit(texts: list[str], labels: list[int]) -> ToxicityModel:
     votes = votes[:, votes.any(0)]
     if not votes.shape[1]:
         return ToxicityModel()
-    # Mixture classes start from the share of voters that fire and from the marks given.
-    label_model = LabelModel.fit(votes, 0.5 * y + 0.5 * (votes.mean(1) > 0))
-    target = label_model.posterior(votes)
+    votes = np.hstack([votes, ~votes.any(1, keepdims=True)])
+    label_model = LabelModel.fit(votes, y)
+    target = label_model.posterior(votes, y)
     weights, bias = _train(sets, target, vocabulary)
     return ToxicityModel(weights, bias, label_model)
 
