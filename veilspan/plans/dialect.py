@@ -8,10 +8,14 @@ runs through Catalyst; the DuckDB text is the same plan's oracle.
 from __future__ import annotations
 
 import hashlib
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veilspan.session import materialize
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -201,15 +205,54 @@ def render(select: Callable[[Dialect], str], needs: tuple[str, ...], dialect: Di
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + select(dialect)
 
 
-def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """Spark SQL over the Parquet tables of `sf_dir`, written @name@ in the text."""
+#: Relations worth writing once where a query reads them more than once; Spark would
+#: otherwise evaluate an expression again at every place that names it.
+SHARED = {"tokens", "cues", "anchors", "anchor_windows", "kept", "releases", "facts", "judged", "paired", "injected", "tok_lists"}
+
+
+def _views(spark: SparkSession, sf_dir: str, sql: str) -> str:
     mark = hashlib.md5(sf_dir.encode()).hexdigest()[:8]
     for name in TABLES:
         if f"@{name}@" in sql:
             view = f"vs_{mark}_{name}"
             spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(view)
             sql = sql.replace(f"@{name}@", view)
-    return spark.sql(sql)
+    return sql
+
+
+def run(spark: SparkSession, sf_dir: str, select: Callable[[Dialect], str], needs: tuple[str, ...] = ()) -> DataFrame:
+    """Spark SQL over the Parquet tables of `sf_dir`, written @name@ in the text.
+
+    SHARED relations that are read more than once are written to shared storage first, in
+    order, so each is evaluated once and a lost executor costs no more than a re-read.
+    """
+    order = _ordered(needs, [])
+    bodies = {n: _RELATIONS[n][1](SPARK) for n in order}
+    final = select(SPARK)
+    uses = {n: sum(len(re.findall(rf"\b(?:FROM|JOIN)\s+{n}\b", text)) for text in [*bodies.values(), final]) for n in order}
+    written: dict[str, str] = {}
+
+    def text(last: str, wanted: tuple[str, ...]) -> str:
+        found: list[str] = []
+
+        def visit(names):
+            for n in names:
+                if n not in found:
+                    if n not in written:
+                        visit(_RELATIONS[n][0])
+                    found.append(n)
+
+        visit(wanted)
+        parts = [f"{n} AS (\n{written.get(n, bodies[n])}\n)" for n in found]
+        return _views(spark, sf_dir, ("WITH " + ",\n".join(parts) + "\n" if parts else "") + last)
+
+    for n in order:
+        if n in SHARED and uses[n] > 1:
+            df = materialize(spark.sql(text(bodies[n], _RELATIONS[n][0])), n.replace("_", "-"))
+            view = f"vs_{uuid.uuid4().hex}"
+            df.createOrReplaceTempView(view)
+            written[n] = f"SELECT * FROM {view}"
+    return spark.sql(text(final, needs))
 
 
 def plan(name: str, *needs: str, oracle: bool = True):
@@ -224,7 +267,7 @@ def plan(name: str, *needs: str, oracle: bool = True):
             return text
 
         # Rendered when asked for: a relation may be registered after the queries that use it.
-        registry.query(name, duck if oracle else None)(lambda spark, sf_dir: run(spark, sf_dir, render(select, needs, SPARK)))
+        registry.query(name, duck if oracle else None)(lambda spark, sf_dir: run(spark, sf_dir, select, needs))
         return select
 
     return add

@@ -12,7 +12,7 @@ from veilspan.streaming.scoring import lexicon_score
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dialect.run(spark, sf_dir, dialect.render(lambda q: "SELECT * FROM rows", ("rows",), dialect.SPARK))
+    return dialect.run(spark, sf_dir, lambda q: "SELECT * FROM rows", ("rows",))
 
 
 def injected(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def _(spark, sf_dir):
 
 @query("j15_second_evaluator")
 def _(spark, sf_dir):
-    released = dialect.run(spark, sf_dir, dialect.render(lambda q: "SELECT row_id, variant, binary_label, released_text FROM releases", ("releases",), dialect.SPARK))
+    released = dialect.run(spark, sf_dir, lambda q: "SELECT row_id, variant, binary_label, released_text FROM releases", ("releases",))
     model = learned.tfidf_classifier(rows(spark, sf_dir))
     scored = model.transform(released.withColumnRenamed("released_text", "text")).withColumn("pred", F.col("prediction").cast("int"))
     return scored.groupBy("variant").agg(F.count("*").alias("n"), F.count_if(F.col("pred") == F.col("binary_label")).alias("correct"), F.count("binary_label").alias("labelled"))
@@ -65,7 +65,7 @@ def _(spark, sf_dir):
 
 @query("l4_bootstrap")
 def _(spark, sf_dir):
-    counts = dialect.run(spark, sf_dir, dialect.render(lambda q: "SELECT variant, count(*) AS n, count_if(hate = raw_hate) AS same FROM paired WHERE raw_hate IN ('YES', 'NO') GROUP BY variant", ("paired",), dialect.SPARK))
+    counts = dialect.run(spark, sf_dir, lambda q: "SELECT variant, count(*) AS n, count_if(hate = raw_hate) AS same FROM paired WHERE raw_hate IN ('YES', 'NO') GROUP BY variant", ("paired",))
     return learned.bootstrap_interval(counts, ["variant"], "same", "n")
 
 
