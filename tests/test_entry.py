@@ -37,7 +37,7 @@ def test_query_matches_oracle(spark, duck, name):
 
 def test_names_agree():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert len(entry.queries()) >= 110
+    assert len(entry.queries()) >= 100
 
 
 def test_entry(spark):

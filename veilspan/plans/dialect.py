@@ -14,7 +14,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspan.session import materialize
+from veilspan.session import materialize, table
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -215,7 +215,7 @@ def _views(spark: SparkSession, sf_dir: str, sql: str) -> str:
     for name in TABLES:
         if f"@{name}@" in sql:
             view = f"vs_{mark}_{name}"
-            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(view)
+            table(spark, sf_dir, name).createOrReplaceTempView(view)
             sql = sql.replace(f"@{name}@", view)
     return sql
 

@@ -25,7 +25,18 @@ def get_spark(app: str = "veilspan", master: str | None = None, **conf: str) ->
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Texts that come in fewer splits than half the cores are dealt out over all cores.
+
+    A small table is often one row group, which one task would read and process alone. Tables
+    with enough splits are left as they are: nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() <= cores else df
 
 
 def scratch_dir(spark: SparkSession) -> str:
