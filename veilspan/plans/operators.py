@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.operators import identify, learned
+from veilspan.functions.lexicon import CLASSIFIER_CUES
+from veilspan.operators import classifiers, identify, learned
 from veilspan.plans import dialect
 from veilspan.registry import query
 from veilspan.streaming.scoring import lexicon_score
@@ -69,6 +70,16 @@ def _(spark, sf_dir):
     return learned.bootstrap_interval(counts, ["variant"], "same", "n")
 
 
-@query("s1_lexicon_score_frame", "SELECT conv_id, turn, least(CAST(1.0 AS DOUBLE), CAST(0.05 AS DOUBLE) + (" + " + ".join(f"CASE WHEN contains(lower(text), '{c}') THEN 1 ELSE 0 END" for c in ["ban", "banned", "deport", "leave", "vermin", "hate", "kill", "kicked out", "inferior", "terrorist", "should leave", "should be banned"]) + ") * CAST(0.28 AS DOUBLE)) AS score FROM conversations")
+def _lexicon_sql(text: str) -> str:
+    hits = " + ".join(f"CASE WHEN contains(lower({text}), '{c}') THEN 1 ELSE 0 END" for c in CLASSIFIER_CUES)
+    return f"least(CAST(1.0 AS DOUBLE), CAST(0.05 AS DOUBLE) + ({hits}) * CAST(0.28 AS DOUBLE))"
+
+
+@query("f1_pluggable_scorer", f"SELECT doc_id AS row_id, {_lexicon_sql('text')} AS score FROM documents")
+def _(spark, sf_dir):
+    return classifiers.score_with(rows(spark, sf_dir), classifiers.LexiconScorer).select("row_id", "score")
+
+
+@query("s1_lexicon_score_frame", f"SELECT conv_id, turn, {_lexicon_sql('text')} AS score FROM conversations")
 def _(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", lexicon_score(F.col("text")).alias("score"))
