@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.llm import decontaminate, langid, packing, quality, simhash
+from veilspan.llm import decontaminate, langid, neardup, packing, quality
 from veilspan.session import materialize, table
 
 #: A document stays if its language is known at least this surely.
@@ -33,8 +33,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id."""
-    gone = simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    """One document of each group of near copies (five-word shingles, similarity 0.8), the one with the smallest id."""
+    gone = neardup.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     # Rows that repeat an id are rare; only they are shuffled to leave one of each.
     repeated = materialize(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")

@@ -451,3 +451,27 @@ def test_blocks_cover_every_row():
 def test_queries_are_complete():
     assert [next(n for n in queries.QUERIES if n.startswith(f"op{k}_")) for k in range(1, 11)] == sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0]))
     assert F
+
+
+def test_pipeline_near_copies(spark):
+    import random
+
+    import corpus_pipeline
+    from veilspan.llm import neardup
+
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    words = {0: base}
+    for i in range(1, 61):  # more than a band holds whole; each differs in two words, 0.9 alike
+        own = list(base)
+        own[rng.randrange(100)] = own[100 + rng.randrange(100)] = f"x{i}"
+        words[i] = own
+    words[100] = base[:120] + [f"y{i}" for i in range(80)]  # under 0.8: stays
+    words[101] = [f"z{i}" for i in range(50)]
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 0) for i, w in words.items()], "doc_id long, text string, lang string, source string, n_chars int")
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in words.items()}
+    alike = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert {b for _, b in alike} == set(range(1, 61)) and kept == {0, 100, 101}
+    found = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()}
+    assert all(found[a] == found[b] for a, b in alike)
