@@ -135,3 +135,32 @@ def test_scorers(spark):
     df = spark.createDataFrame([(1, "they should leave"), (2, "hello"), (3, "hello"), (4, None)], "row_id long, text string")
     got = {r.row_id: round(r.score, 2) for r in C.score_with(df, C.LexiconScorer).collect()}
     assert got == {1: 0.61, 2: 0.05, 3: 0.05, 4: 0.05}
+
+
+def test_direct_masks_cover_detected_identifiers(spark):
+    import __spark_entry__ as entry
+    from veilspan.plans import operators
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.row_id: (r.text, [s.asDict() for s in r.gold]) for r in operators.injected(spark, sf).collect()}
+    got = {r.row_id: r.released_text for r in entry.queries()["h7_pii_mask"](spark, sf).collect()}
+    assert got.keys() == texts.keys()
+    own = {v for vs in (L.EMAILS, L.HANDLES, L.PHONES, L.PEOPLE) for v in vs}
+    seen, residual = 0, {}
+    for i, (text, gold) in texts.items():
+        spans = identify.resolve([*gold, *identify.candidates(text)])
+        masked = identify.mask(text, spans, set(L.DIRECT))
+        assert re.sub(r"\W", "", got[i]) == re.sub(r"\W", "", masked)
+        for s in spans:
+            literal = text[s["start"] : s["end"]]
+            seen += s["label"] in ("EMAIL", "IP") and literal not in own
+            assert s["label"] not in ("EMAIL", "IP", "URL") or literal not in got[i]
+        residual |= {(i, s["label"], s["start"]): text[s["start"] : s["end"]] in got[i] for s in gold}
+    assert seen
+    assert {(r.row_id, r.label, r.s): r.residual for r in entry.queries()["d8_residual_literals"](spark, sf).collect()} == residual
+    rates = {r.kind: (r.total, r.n_residual) for r in entry.queries()["j8_residual_rates"](spark, sf).collect()}
+    for kind in ("direct", "quasi"):
+        mine = [v for (_, label, _), v in residual.items() if (label in L.DIRECT) == (kind == "direct")]
+        assert rates[kind] == (len(mine), sum(mine))
+    assert {r.row_id: r.n_chars for r in entry.queries()["i2_render_masked"](spark, sf).collect()} == {i: len(t) for i, t in got.items()}
+    assert entry.queries()["d7_privacy_risk"](spark, sf).count() == len(got)

@@ -110,6 +110,18 @@ def mask_rows(df: DataFrame, quasi: bool = False, id_column: str = "row_id", tex
     return _map(df, [id_column, text], f"{id_column} {dict(df.dtypes)[id_column]}, released_text string", lambda i, t: (i, mask(t or "", resolve(candidates(t or "")), labels)))
 
 
+def mask_gold_rows(df: DataFrame, quasi: bool = False, id_column: str = "row_id", text: str = "text", gold: str = "gold") -> DataFrame:
+    """(id, released_text, literals): like mask_rows, the known spans of `gold` masked too; literals are their label, start and text."""
+    labels = set(L.DIRECT + (L.QUASI if quasi else []))
+
+    def step(i, t, known):
+        t = t or ""
+        spans = resolve([*(known or []), *candidates(t)])
+        return i, mask(t, spans, labels), [{"label": g["label"], "s": g["start"], "literal": t[g["start"] : g["end"]]} for g in known or []]
+
+    return _map(df, [id_column, text, gold], f"{id_column} {dict(df.dtypes)[id_column]}, released_text string, literals array<struct<label:string,s:int,literal:string>>", step)
+
+
 def inject_rows(df: DataFrame, seed: int = 17, id_column: str = "row_id", index: str = "row_index", text: str = "text") -> DataFrame:
     """(id, template, text, gold): every row with one template of made-up identifiers."""
     return _map(df, [id_column, index, text], f"{id_column} {dict(df.dtypes)[id_column]}, template string, text string, gold array<{SPAN}>", lambda i, n, t: (i, *inject(t or "", seed, n)))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from veilspan.functions import lexicon as L
 from veilspan.plans import core
-from veilspan.plans.core import cleaned
 from veilspan.plans.dialect import plan, relation
 
 # ---------------------------------------------------------------- identifiers (D)
@@ -86,42 +85,6 @@ WHERE NOT {q.matches("substring(low, greatest(" + q.position('low', 'phrase') +
 AND NOT {q.matches("substring(low, " + q.position('low', 'phrase') + " + length(phrase), 1)", r'[\p{L}\p{N}_]')}"""
 
 
-def masked(q, column):
-    """Made-up direct identifiers of the injected text replaced by their class."""
-    out = column
-    for label, values in (("EMAIL", L.EMAILS), ("HANDLE", L.HANDLES), ("PERSON", L.PEOPLE), ("PHONE", L.PHONES)):
-        for v in values:
-            out = f"replace({out}, {q.text(v)}, {q.text('[' + label + ']')})"
-    return out
-
-
-@relation("masked_rows", "injected")
-def _(q):
-    return f"SELECT row_id, {cleaned(q, masked(q, 'text'))} AS released_text FROM injected"
-
-
-@plan("h7_pii_mask", "masked_rows")
-def _(q):
-    return "SELECT row_id, released_text FROM masked_rows"
-
-
-@plan("d7_privacy_risk", "masked_rows")
-def _(q):
-    scrubbed = q.sub("released_text", r"\[(?:EMAIL|URL|HANDLE|PERSON|PHONE|SCHOOL|WORKPLACE|EVENT)\]", "")
-    return f"SELECT row_id, {q.matches(scrubbed, r'[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}|https?://|www[.]|@[A-Za-z0-9_]{2,}')} AS at_risk FROM masked_rows"
-
-
-@plan("d8_residual_literals", "gold_spans", "masked_rows")
-def _(q):
-    return "SELECT g.row_id, g.label, g.s, contains(m.released_text, g.literal) AS residual FROM gold_spans g JOIN masked_rows m ON g.row_id = m.row_id"
-
-
-@plan("j8_residual_rates", "gold_spans", "masked_rows")
-def _(q):
-    return f"""SELECT kind, count(*) AS total, count_if(residual) AS n_residual, count_if(residual) / CAST(count(*) AS DOUBLE) AS residual_rate FROM (
-SELECT CASE WHEN {q.in_list('g.label', L.DIRECT)} THEN 'direct' ELSE 'quasi' END AS kind, contains(m.released_text, g.literal) AS residual FROM gold_spans g JOIN masked_rows m ON g.row_id = m.row_id) x GROUP BY kind"""
-
-
 @plan("d6_span_json", "gold_spans")
 def _(q):
     return "SELECT row_id, s, concat('{\"start\":', CAST(s AS STRING), ',\"end\":', CAST(e AS STRING), ',\"label\":\"', label, '\"}') AS json FROM gold_spans"
@@ -376,11 +339,6 @@ def _(q):
     return "SELECT s.row_id, r.variant, r.released_text FROM sampled s JOIN releases r ON s.row_id = r.row_id WHERE r.variant <> 'raw'"
 
 
-@plan("i2_render_masked", "masked_rows")
-def _(q):
-    return "SELECT row_id, length(released_text) AS n_chars FROM masked_rows"
-
-
 @plan("i3_sanitize", "tok_rows", "lexicon", "rows")
 def _(q):
     low = q.sub("lower(t.tok)", chr(91) + "^a-z0-9" + chr(39) + "]+", "")
