@@ -475,3 +475,16 @@ def test_pipeline_near_copies(spark):
     assert {b for _, b in alike} == set(range(1, 61)) and kept == {0, 100, 101}
     found = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()}
     assert all(found[a] == found[b] for a, b in alike)
+
+
+def test_toxicity_frequencies_of_the_corpus(spark):
+    # Toxic texts are over a third of all rows; their words must be mined all the same.
+    clean = [f"plain words about item{i} and weather{i % 7}" for i in range(300)]
+    toxic = [f"zorgh blivvit about item{i}" for i in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*clean, *toxic, toxic[0], None])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 300)) for i in [*range(60), *range(300, 360)]], "doc_id long, toxic int")
+    shares = toxicity.corpus_shares(docs, ["zorgh", "plain", "zorg*", "none"])
+    assert shares == [300 / 601, 300 / 601, 300 / 601, 0]
+    model = toxicity.learn(docs, labels)
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs, model).collect()}
+    assert all(got[i] == 1 for i in range(300, 600)) and not any(got[i] for i in range(300))

@@ -7,8 +7,9 @@ left between voters within the classes shrink the votes of voters that say the s
 posteriors label the training texts, and a linear classifier (logistic) is trained on them
 over word and word-beginning features. Scoring sees the text alone.
 
-Training reads at most `max_train` labelled rows of each class and as many others, which
-only show how common words are (smallest id hashes).
+Training reads at most `max_train` labelled rows of each class (smallest id hashes). How common
+the mined features are is counted over all distinct texts; what the corpus's own toxic texts
+add to that is taken off, so a large share of them does not hide their words.
 Scoring covers every whole text.
 
 Defined results: null and empty texts get the score of a text without features. Without
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -115,9 +117,12 @@ class ToxicityModel:
         return 1 / (1 + float(np.exp(-max(-40.0, min(40.0, z)))))
 
 
-def _mine(texts: list[str], y: np.ndarray, most: int = 600) -> list[str]:
+def _mine(texts: list[str], y: np.ndarray, most: int = 600, corpus: Callable[[list[str]], list[float]] | None = None) -> list[str]:
     """Features that stand in the toxic class far more often, best first. y: 0, 1, or -1 for unlabelled.
 
+    corpus: gives the share of all texts that hold each feature; without it the unlabelled rows do.
+    A feature of toxic texts alone has as many times its toxic share as the corpus has toxic texts,
+    the least ratio there is; the lower quartile over the candidates stands for it.
     Only features of toxic texts can qualify, so only those are counted elsewhere.
     """
     n = {c: max(1, int((y == c).sum())) for c in (0, 1, -1)}
@@ -139,9 +144,17 @@ def _mine(texts: list[str], y: np.ndarray, most: int = 600) -> list[str]:
     for f, count in toxic.items():
         if longest.get(f, 0) >= 0.8 * count:
             continue  # a beginning that stands for one word adds only chance hits
-        share, clean, background = count / n[1], other[0][f] / n[0], other[-1][f] / n[-1]
-        if share > 30 * clean and share > 3 * background:
-            ranked.append((-(share - 3 * clean), f))
+        share, clean = count / n[1], other[0][f] / n[0]
+        if share > 30 * clean:
+            ranked.append((-(share - 3 * clean), f, share))
+    if corpus is None:
+        background = [other[-1][f] / n[-1] for _, f, _ in ranked]
+    else:
+        everywhere = np.array(corpus([f for _, f, _ in ranked]))
+        shares = np.array([share for *_, share in ranked])
+        toxic_part = float(min(0.9, np.quantile(everywhere / shares, 0.25))) if ranked else 0.0
+        background = np.maximum(0, everywhere - toxic_part * shares) / (1 - toxic_part)
+    ranked = [(rank, f) for (rank, f, share), common in zip(ranked, background) if share > 3 * common]
     return [f for _, f in sorted(ranked)[:most]]
 
 
@@ -164,12 +177,12 @@ def _train(sets: list[set[str]], target: np.ndarray, vocabulary: list[str], step
     return {f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-3}, float(b)
 
 
-def fit(texts: list[str], labels: list[int]) -> ToxicityModel:
-    """labels: 0, 1, or -1 for unlabelled texts, which only show how common features are."""
+def fit(texts: list[str], labels: list[int], corpus: Callable[[list[str]], list[float]] | None = None) -> ToxicityModel:
+    """labels: 0, 1, or -1 for unlabelled texts, which only show how common features are if `corpus` does not."""
     y = np.array(labels, np.int64)
     if not (y == 0).any() or not (y == 1).any():
         return ToxicityModel()
-    mined = _mine(texts, y)
+    mined = _mine(texts, y, corpus=corpus)
     vocabulary = sorted(set(mined) | set(SEED_NOUNS) | set(SEED_ADJECTIVES))
     known, wanted = np.flatnonzero(y >= 0), set(vocabulary)
     texts, y = [texts[i] for i in known], y[known]
@@ -187,24 +200,53 @@ def fit(texts: list[str], labels: list[int]) -> ToxicityModel:
     return ToxicityModel(weights, bias, label_model)
 
 
+def corpus_shares(documents: DataFrame, wanted: list[str], text: str = "text") -> list[float]:
+    """The share of all distinct texts that hold each wanted feature; copies count once."""
+    index = {f: i for i, f in enumerate(wanted)}
+
+    def work():
+        import xxhash
+
+        memory: dict[str, tuple] = {}
+
+        def found(t: str) -> set[int]:
+            if len(memory) > MEMORY:
+                memory.clear()
+            out = {-1}
+            for w in set(WORD.findall(t.lower())):
+                hit = memory.get(w)
+                if hit is None:
+                    hit = memory[w] = tuple(index[f] for f in (w, *(w[:k] + "*" for k in PREFIXES if len(w) > k)) if f in index)
+                out.update(hit)
+            return out
+
+        def step(columns, texts):
+            marks = np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts], np.uint64)
+            return {"mark": marks.view(np.int64), "found": [sorted(found(t)) for t in texts]}
+
+        return step
+
+    marked = map_texts(documents, [text], text, "mark long, found array<int>", work)
+    counted = marked.select("mark", F.explode("found").alias("feature")).distinct().groupBy("feature").count()
+    counts = {r[0]: r[1] for r in counted.collect()}
+    return [counts.get(i, 0) / max(1, counts.get(-1, 0)) for i in range(len(wanted))]
+
+
 def learn(documents: DataFrame, labels: DataFrame, where: str = "true", max_train: int = MAX_TRAIN, text: str = "text") -> ToxicityModel:
     """Fit on labelled rows (doc_id, toxic 0/1) that satisfy `where`, `max_train` of each class.
 
-    The ids are chosen first, with as many unlabelled ones for word frequencies; they are broadcast (8 bytes each, at most
-    3 * max_train), so only the sampled texts leave the scan.
+    The ids are chosen first; they are broadcast (8 bytes each, at most 2 * max_train), so only the sampled texts leave
+    the scan. Word frequencies are counted over all documents that satisfy `where`.
     """
     marked = labels.where(f"({where}) AND toxic IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     ids = []
     for label in (0, 1):
         ids += marked.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).collect()
-    background = documents.where(f"({where}) AND doc_id IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(max_train)
-    known = {r[0] for r in ids}
-    ids += [(r[0], -1) for r in background.collect() if r[0] not in known]
     spark = documents.sparkSession
     chosen = spark.createDataFrame([(r[0], r[1]) for r in ids], "doc_id long, toxic int").dropDuplicates(["doc_id"])
     rows = documents.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
     found = sorted((r[0], r[1] or "", r[2]) for r in rows.collect())
-    return fit([t for _, t, _ in found], [c for _, _, c in found])
+    return fit([t for _, t, _ in found], [c for _, _, c in found], lambda wanted: corpus_shares(documents.where(where), wanted, text))
 
 
 def score(documents: DataFrame, model: ToxicityModel, text: str = "text", id_column: str = "doc_id") -> DataFrame:
