@@ -164,3 +164,18 @@ def test_direct_masks_cover_detected_identifiers(spark):
         assert rates[kind] == (len(mine), sum(mine))
     assert {r.row_id: r.n_chars for r in entry.queries()["i2_render_masked"](spark, sf).collect()} == {i: len(t) for i, t in got.items()}
     assert entry.queries()["d7_privacy_risk"](spark, sf).count() == len(got)
+
+
+def test_pattern_and_phrase_spans_are_all_hits(spark):
+    import __spark_entry__ as entry
+    from veilspan.plans import dialect
+
+    sf, queries = "/root/testdata/sf0.001", entry.queries()
+    texts = {r.row_id: r.text for r in dialect.run(spark, sf, lambda q: "SELECT row_id, text FROM injected", ("injected",)).collect()}
+    want = sorted((i, s["label"], t[s["start"] : s["end"]], s["start"], s["end"]) for i, t in texts.items() for s in identify.candidates(t) if s["source"] == "regex")
+    assert sorted((r.row_id, r.label, r.lit, r.s, r.e) for r in queries["d1_pattern_spans"](spark, sf).collect()) == want
+    assert {"HANDLE", "PHONE", "DATE", "FAMILY_RELATION"} <= {w[1] for w in want}
+    phrases = sorted((i, s["label"], t[s["start"] : s["end"]].lower(), s["start"]) for i, t in texts.items() for s in identify.candidates(t) if s["source"] == "phrase")
+    assert sorted((r.row_id, r.label, r.phrase, r.s) for r in queries["d2_phrase_spans"](spark, sf).collect()) == phrases
+    df = spark.createDataFrame([(1, "the haunted Aunt met an aunt, cousins and a cousin")], "row_id long, text string")
+    assert [(f.phrase, f.s) for f in identify.phrase_rows(df).first().found] == [("cousin", 44), ("aunt", 12), ("aunt", 24)]

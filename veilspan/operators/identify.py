@@ -104,6 +104,15 @@ def detect(df: DataFrame, id_column: str = "row_id", text: str = "text") -> Data
     return _map(df, [id_column, text], f"{id_column} {dict(df.dtypes)[id_column]}, spans array<{SPAN}>", lambda i, t: (i, resolve(candidates(t or ""))))
 
 
+def phrase_rows(df: DataFrame, id_column: str = "row_id", text: str = "text") -> DataFrame:
+    """(id, found): label, phrase and start of every phrase hit of every row, overlaps included."""
+
+    def step(i, t):
+        return i, [{"label": label, "phrase": m.group().lower(), "s": m.start()} for label, pattern in _PHRASES for m in pattern.finditer(t or "")]
+
+    return _map(df, [id_column, text], f"{id_column} {dict(df.dtypes)[id_column]}, found array<struct<label:string,phrase:string,s:int>>", step)
+
+
 def mask_rows(df: DataFrame, quasi: bool = False, id_column: str = "row_id", text: str = "text") -> DataFrame:
     """(id, released_text): direct identifiers (and quasi ones if asked) replaced by their class."""
     labels = set(L.DIRECT + (L.QUASI if quasi else []))

@@ -55,8 +55,9 @@ def _(q):
     return "SELECT g.row_id, g.label, g.s, g.e, substring(t.text, g.s + 1, g.e - g.s) = g.literal AS exact FROM gold_spans g JOIN injected t ON g.row_id = t.row_id"
 
 
-#: Detectors whose pattern both engines read alike: no look-behind, ASCII word bounds.
-PLAIN = {"EMAIL": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "IP": r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "URL": r"(?:https?://|www\.)[^\s<>()]+", "SOURCE_MARKER": r"(?i)\b(?:posted|wrote|shared by|contact)\b"}
+#: The nine detectors, as both engines read them. The oracle's engine has no look-behind: a handle's match
+#: takes the character before it along, which the span then leaves out.
+PLAIN = {label: ("(?i)" if loose else "") + (r"(?:^|[^\p{L}\p{N}_])@[A-Za-z0-9_]{2,32}\b" if label == "HANDLE" else p) for label, p, loose, _ in L.DETECTORS}
 
 
 @relation("pattern_spans", "injected")
@@ -68,7 +69,8 @@ def _(q):
             exploded = f"SELECT row_id, CAST(i AS INT) AS i, lit, get(gaps, i) AS gap FROM (SELECT row_id, {hits} AS hits, {gaps} AS gaps FROM injected) LATERAL VIEW posexplode(hits) _x AS i, lit"
         else:
             exploded = f"SELECT row_id, CAST(i AS INT) AS i, hits[i + 1] AS lit, gaps[i + 1] AS gap FROM (SELECT *, unnest(range(len(hits))) AS i FROM (SELECT row_id, {hits} AS hits, {gaps} AS gaps FROM injected))"
-        out.append(f"SELECT row_id, '{label}' AS label, lit, CAST(e - length(lit) AS INT) AS s, CAST(e AS INT) AS e FROM (SELECT row_id, lit, sum(length(lit) + length(gap)) OVER (PARTITION BY row_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS e FROM ({exploded}) x) y")
+        own = "substring(lit, instr(lit, '@'))" if label == "HANDLE" else "lit"
+        out.append(f"SELECT row_id, '{label}' AS label, {own} AS lit, CAST(e - length({own}) AS INT) AS s, CAST(e AS INT) AS e FROM (SELECT row_id, lit, sum(length(lit) + length(gap)) OVER (PARTITION BY row_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS e FROM ({exploded}) x) y")
     return "\nUNION ALL ".join(out)
 
 
@@ -77,14 +79,6 @@ def _(q):
     return "SELECT row_id, label, lit, s, e FROM pattern_spans"
 
 
-@plan("d2_phrase_spans", "injected")
-def _(q):
-    phrases = q.values([(q.text(label), q.text(p.lower())) for label, ps in L.PHRASES for p in ps], "label, phrase")
-    return f"""SELECT row_id, label, phrase, CAST({q.position('low', 'phrase')} - 1 AS INT) AS s FROM (SELECT row_id, lower(text) AS low FROM injected) t JOIN ({phrases}) p ON contains(t.low, p.phrase)
-WHERE NOT {q.matches("substring(low, greatest(" + q.position('low', 'phrase') + " - 1, 1), CASE WHEN " + q.position('low', 'phrase') + " > 1 THEN 1 ELSE 0 END)", r'[\p{L}\p{N}_]')}
-AND NOT {q.matches("substring(low, " + q.position('low', 'phrase') + " + length(phrase), 1)", r'[\p{L}\p{N}_]')}"""
-
-
 @plan("d6_span_json", "gold_spans")
 def _(q):
     return "SELECT row_id, s, concat('{\"start\":', CAST(s AS STRING), ',\"end\":', CAST(e AS STRING), ',\"label\":\"', label, '\"}') AS json FROM gold_spans"

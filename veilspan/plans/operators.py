@@ -28,6 +28,12 @@ def _(spark, sf_dir):
     return found.select("row_id", "x.start", "x.end", "x.label", "x.score")
 
 
+@query("d2_phrase_spans")
+def _(spark, sf_dir):
+    texts = dialect.run(spark, sf_dir, lambda q: "SELECT row_id, text FROM injected", ("injected",))
+    return identify.phrase_rows(texts).select("row_id", F.explode("found").alias("x")).select("row_id", "x.label", "x.phrase", "x.s")
+
+
 @query("c3_resolve_overlaps")
 def _(spark, sf_dir):
     found = identify.detect(rows(spark, sf_dir))
