@@ -55,3 +55,18 @@ def test_golden_statistics(spark):
     chosen = [r.setting for r in entry.queries()["n2_recommended"](spark, SF).collect() if r.recommended]
     assert chosen == ["k=5, r=2"]
     assert not any(r.pareto_dominated for r in entry.queries()["n3_pareto"](spark, SF).collect())
+
+
+def test_stand_in_masks_cover_whole_texts(spark):
+    queries = entry.queries()
+    tokens = {(r.row_id, r.idx) for r in queries["b1_tokenize"](spark, SF).collect()}
+    cues = {(r.row_id, r.idx) for r in queries["e6_cue_labels"](spark, SF).collect()}
+    masks = {(r.row_id, r.idx): r.mask for r in queries["a7_char_offset_mask"](spark, SF).collect()}
+    assert masks.keys() == tokens and {k for k, v in masks.items() if v} == cues
+    assert {r.n_mask for r in queries["j12_rationale_overlap"](spark, SF).collect()} == {len(cues)}
+    assert {(r.row_id, r.variant) for r in queries["b7_fragmentary"](spark, SF).collect()} == {(r.row_id, r.variant) for r in queries["h11_all_variants"](spark, SF).collect()}
+
+
+@pytest.mark.parametrize("name", ["a7_char_offset_mask", "b7_fragmentary", "j12_rationale_overlap"])
+def test_whole_texts_match_oracle(spark, duck, name):
+    test_query_matches_oracle(spark, duck, name)

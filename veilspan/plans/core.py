@@ -46,17 +46,18 @@ def _(q):
     return f"SELECT row_id, {q.join_text(_group_array(q, 'low'), '|')} AS target_groups FROM grouped_rows"
 
 
-@relation("tox_spans", "rows", "tokens")
+@relation("tox_spans", "cues")
 def _(q):
-    # A stringified offset list, as span corpora have it: the characters of every 7th token.
-    return "SELECT row_id, concat('[', concat_ws(',', CAST(s AS STRING), CAST(s + 1 AS STRING)), ']') AS position FROM tokens WHERE idx = 6"
+    # A stringified offset list, as span corpora have it: the first and last character of each cue token.
+    offsets = q.join_text(q.collect("CONCAT(CAST(s AS STRING), ',', CAST(e - 1 AS STRING))", "idx"), ",")
+    return f"SELECT row_id, concat('[', {offsets}, ']') AS position FROM cues GROUP BY row_id"
 
 
 @plan("a7_char_offset_mask", "tox_spans", "tokens")
 def _(q):
     nums = q.findall("position", "[0-9]+")
     return f"""SELECT t.row_id, t.idx, t.tok, CASE WHEN {q.size(q.keep('p.nums', 'c', 'CAST(c AS INT) >= t.s AND CAST(c AS INT) < t.e'))} > 0 THEN 1 ELSE 0 END AS mask
-FROM tokens t JOIN (SELECT row_id, {nums} AS nums FROM tox_spans) p ON t.row_id = p.row_id"""
+FROM tokens t LEFT JOIN (SELECT row_id, {nums} AS nums FROM tox_spans) p ON t.row_id = p.row_id"""
 
 
 @relation("sampled", "rows")
@@ -156,16 +157,11 @@ def _(q):
     return f"SELECT row_id, {q.sub('lower(text)', chr(91) + '^a-z0-9' + chr(39) + ']+', '')} AS normalized FROM rows"
 
 
-@relation("excerpts", "rows")
-def _(q):
-    return "SELECT row_id, CASE row_id % 4 WHEN 0 THEN substring(text, 1, 30) WHEN 1 THEN concat('... ', substring(text, 1, 20)) WHEN 2 THEN concat(substring(text, 1, 25), ' ... ', substring(text, 40, 20), ' ...') ELSE substring(text, 1, 60) END AS x FROM rows"
-
-
-@plan("b7_fragmentary", "excerpts")
+@plan("b7_fragmentary", "releases")
 def _(q):
     n = q.size(q.findall("x", r"[\p{L}\p{N}_]+"))
-    return f"""SELECT row_id, {q.matches('x', r'^[.,;:]|[,;:]$')} AS is_fragmentary,
-({n} <= 4 OR x LIKE '...%' OR x LIKE '%...' OR {q.size(q.findall('x', r'[.][.][.]'))} >= 2) AS looks_fragmentary FROM excerpts"""
+    return f"""SELECT row_id, variant, {q.matches('x', r'^[.,;:]|[,;:]$')} AS is_fragmentary,
+({n} <= 4 OR x LIKE '...%' OR x LIKE '%...' OR {q.size(q.findall('x', r'[.][.][.]'))} >= 2) AS looks_fragmentary FROM (SELECT row_id, variant, released_text AS x FROM releases) r"""
 
 
 @plan("b8_label_tokens", "rows")
@@ -595,10 +591,10 @@ SELECT row_id, variant, bool_or(CASE WHEN cue = 'TARGET_CUE' THEN preserved END)
 bool_or(CASE WHEN {stance} THEN preserved END) AS stance FROM cue_preserved GROUP BY row_id, variant) p GROUP BY variant"""
 
 
-@plan("j12_rationale_overlap", "tokens", "kept")
+@plan("j12_rationale_overlap", "cues", "kept")
 def _(q):
     return """SELECT m.variant, count(*) AS n_mask, count_if(m.hit) AS n_overlapped FROM (
-SELECT t.row_id, t.idx, v.variant, bool_or(k.s IS NOT NULL) AS hit FROM (SELECT * FROM tokens WHERE idx % 11 = 3) t CROSS JOIN (SELECT DISTINCT variant FROM kept) v
+SELECT t.row_id, t.idx, v.variant, bool_or(k.s IS NOT NULL) AS hit FROM (SELECT DISTINCT row_id, idx, s, e FROM cues) t CROSS JOIN (SELECT DISTINCT variant FROM kept) v
 LEFT JOIN kept k ON t.row_id = k.row_id AND v.variant = k.variant AND t.s < k.e AND k.s < t.e GROUP BY t.row_id, t.idx, v.variant) m GROUP BY m.variant"""
 
 
