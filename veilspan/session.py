@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_spark(app: str = "veilspan", master: str | None = None, **conf: str) -> SparkSession:
@@ -29,14 +30,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(df) if name in ("documents", "pages") else df
 
 
+#: Splits up to which a table of texts is dealt out: what is moved is bounded by as many splits.
+FEW_SPLITS = 8
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Texts that come in fewer splits than half the cores are dealt out over all cores.
+    """Texts that come in very few splits are dealt out over all cores, their order kept.
 
-    A small table is often one row group, which one task would read and process alone. Tables
-    with enough splits are left as they are: nothing is shuffled.
+    A small table is often one row group, which one task would read and process alone. Its rows
+    are cut into ranges of their places in the files, so neighbours stay neighbours. Tables of
+    more than FEW_SPLITS splits, or of half as many as there are cores, are left as they are.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() <= cores else df
+    cores, splits = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    if splits > FEW_SPLITS or 2 * splits > cores:
+        return df
+    place = ["_file", "_row"]
+    placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    return placed.repartitionByRange(cores, *place).sortWithinPartitions(*place).drop(*place)
 
 
 def scratch_dir(spark: SparkSession) -> str:
