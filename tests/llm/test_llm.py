@@ -292,6 +292,44 @@ def test_packing_odd(spark, odd):
     assert packing.pack(odd.limit(0), path()).count() == 0
 
 
+def test_encoder_equals_tokenizer():
+    import random
+
+    from tokenizers import Tokenizer
+
+    rng, encode, tok = random.Random(3), packing.WordEncoder(path(), 2), Tokenizer.from_file(path())
+    ascii_ = [chr(c) for c in range(128)]
+    wide = [chr(c) for part in ((0, 0x180), (0x3A3, 0x3A4), (0x301, 0x302), (0x400, 0x530), (0x5D0, 0x5EB), (0x621, 0x64B), (0x2010, 0x2060), (0x3000, 0x3100), (0x4E00, 0x4E40), (0xAC00, 0xAC40), (0x1F600, 0x1F650)) for c in range(*part)]
+    texts = ["".join(rng.choice((ascii_, wide)[k % 2]) if rng.random() < 0.6 else rng.choice(" ea.ths'") for _ in range(rng.randrange(60))) for k in range(10_000)]
+    got = [ids for i in range(0, len(texts), 500) for ids in encode.many(texts[i : i + 500])]
+    assert all(g == np.array([*tok.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes() for t, g in zip(texts, got))
+    assert sum(map(bool, map(encode.plain, texts))) > 4000
+    long = " ".join(t for t in texts if encode.plain(t))
+    assert b"".join(encode.gathered([p.lower()])[0] for p in packing.stretches(long, 1000)) == encode.whole(long)
+    assert "".join(packing.stretches(long, 1000)) == long
+
+
+def test_forgetting_changes_nothing(monkeypatch):
+    encode, small = packing.WordEncoder(path(), 2), packing.WordEncoder(path(), 2)
+    texts = [" ".join(f"w{i * j % 977}x." for i in range(300)) for j in range(1, 9)]
+    monkeypatch.setattr(packing, "MEMORY", 7)
+    assert [small.many([t])[0] for t in texts] == [encode.whole(t) + encode.end for t in texts]
+
+
+@pytest.mark.parametrize("cores", [2, 5])
+def test_packing_keeps_the_order(spark, cores, tmp_path):
+    """Neighbours part only at the ends of the splits, however many there are."""
+    df = spark.range(3000).selectExpr("id AS doc_id", "concat('document number ', id, ' says so.') AS text").coalesce(1)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = packing.pack(spark.read.parquet(str(tmp_path / "documents.parquet")).repartitionByRange(cores, "doc_id").sortWithinPartitions("doc_id"), path()).collect()
+    by = defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        by[r.sequence_id >> 40].append(r.doc_id)
+    assert len(by) == cores
+    for ids in by.values():
+        assert sorted(set(ids)) == list(range(ids[0], ids[-1] + 1)) and ids == sorted(ids)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 8), st.sampled_from([0.0, 1.0, 3.0])), min_size=1, max_size=9))
 def test_plan_is_optimal(parts):

@@ -10,6 +10,20 @@ from pyspark.sql import DataFrame
 
 #: Bytes of text that a Python worker holds at a time; a longer text is a block of its own.
 BLOCK_BYTES = 4 << 20
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """`df`, its session set to hand Python no more than BLOCK_BYTES (or one row) at a time.
+
+    Spark's own bound is 64 MB a batch, held by the JVM and by the worker. A session with a
+    lower bound keeps it.
+    """
+    conf = df.sparkSession.conf
+    now = conf.get(BATCH_BYTES).lower().removesuffix("b")
+    if int(now.rstrip("kmg")) << {"k": 10, "m": 20, "g": 30}.get(now[-1], 0) > BLOCK_BYTES:
+        conf.set(BATCH_BYTES, str(BLOCK_BYTES))
+    return df
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -46,4 +60,4 @@ def map_texts(df: DataFrame, columns: list[str], text: str, schema: str, work: C
             out = step([part.column(part.schema.get_field_index(n)) for n in names], texts)
             yield pa.RecordBatch.from_arrays([x.cast(f.type) if isinstance(x := out[f.name], pa.Array) else pa.array(x, f.type) for f in arrow], schema=arrow)
 
-    return df.select(*names, text).mapInArrow(run, parsed)
+    return bounded(df).select(*names, text).mapInArrow(run, parsed)

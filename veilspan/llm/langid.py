@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.llm.arrowtext import map_texts
+from veilspan.llm.arrowtext import blocks, bounded, map_texts
 
 DIM = 8192
 MAX_PER_LANG = 500
@@ -162,8 +162,6 @@ def identify_rows(documents: DataFrame, model: LanguageModel, text: str = "text"
     import pyarrow as pa
     from pyspark.sql.types import StructType
 
-    from veilspan.llm.arrowtext import blocks
-
     schema = StructType([*documents.schema, *StructType.fromDDL("_lang_pred string, _lang_score double")])
 
     def run(batches):
@@ -171,4 +169,4 @@ def identify_rows(documents: DataFrame, model: LanguageModel, text: str = "text"
             langs, scores = model.predict(texts)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, "_lang_pred", "_lang_score"])
 
-    return documents.mapInArrow(run, schema)
+    return bounded(documents).mapInArrow(run, schema)

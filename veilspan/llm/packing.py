@@ -14,32 +14,37 @@ Where no candidate lies within a window's reach, cuts inside the sentence are ad
 Memory: a task plans `horizon` tokens at a time, hands on all windows but the last and goes
 on from there. The last windows of a task are cut to powers of two, so they are not padded.
 
+Order: the documents of a split keep their order, and so do their pieces. Nothing is dealt out
+anew, so neighbours part only where the input's own splits do.
+
 Defined results: a null or empty text is packed as its end token alone. Every row is packed,
-repeated rows too (as rows of their own, with equal doc_id). Sequence ids are unique over
-the table; they depend on how the input is split into tasks, which a rerun repeats. An
-empty table gives no row.
+repeated rows too (as rows of their own, with equal doc_id), rows without an id as well.
+Sequence ids are unique over the table; they depend on how the input is split into tasks,
+which a rerun repeats. An empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import unicodedata
+import re
 import zlib
 from bisect import bisect_left
 from collections import deque
+from collections.abc import Iterator
 from struct import pack as pack_ids
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from veilspan.llm.arrowtext import blocks
+from veilspan.llm.arrowtext import blocks, bounded
 from veilspan.llm.wordpiece import byte_alphabet
 
 CAPACITY = 4096
 HORIZON = 64 * CAPACITY
 #: Cost of a cut at a sentence end and inside a sentence, in tokens of padding.
 SENTENCE_PENALTY, INNER_PENALTY = 4.0, 48.0
-#: Distinct runs a worker remembers, twice over.
-MEMORY = 300_000
+#: Distinct words a worker remembers, twice over; characters of a text that are taken at a time.
+MEMORY, STRETCH = 200_000, 1 << 20
+SPACE = re.compile(r"[\t-\r ]")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -48,13 +53,18 @@ class WordEncoder:
 
     The file's own steps are NFC, white space, lower case, a split into words that never
     crosses white space or depends on what lies beyond it, and BPE inside each word. So the ids
-    of a run between white space are always the same: each distinct run is encoded once, many
-    at a time. Only texts of the characters below are taken apart like that; any other text
-    goes through the tokenizer whole.
+    of a run between white space are always the same: a block of texts is split into runs, each
+    distinct run is encoded once, and the ids are gathered by array operations. Only texts of
+    the characters below are taken apart like that; any other text goes through the tokenizer
+    whole. A text longer than STRETCH characters is taken in stretches that end at white space.
     """
 
     #: Characters for which lower-casing, NFC and white space are the same for Python and the file.
-    PLAIN = r"[\x00-\x1B\x20-\x7F\xA1-\xA3\xA5-\xB4\xB6-\u012F\u0132-\u017E\u2010-\u2027\u2030-\u205E\u20AC]*+"
+    PLAIN = (
+        r"[\x00-\x1B\x20-\x7F\xA1-\xA3\xA5-\xB4\xB6-\u012F\u0132-\u017E\u0400-\u0481\u048A-\u052F\u05D0-\u05EA\u0621-\u063A\u0641-\u064A"
+        r"\u2010-\u2027\u2030-\u205E\u20AC\u3001-\u3011\u3041-\u3096\u30A1-\u30FA\u30FC\u4E00-\u9FA5\uAC00-\uD7A3\U0001F300-\U0001F5FF\U0001F600-\U0001F64F]*+"
+    )
+
     def __init__(self, path: str, end_id: int):
         import json
 
@@ -73,51 +83,90 @@ class WordEncoder:
         self.end = np.array([end_id], "<u4").tobytes()
         self.seen: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
+        self.marks = {m: self.word(m) for m in ".,;:!?"}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def sentence_ends(self) -> np.ndarray:
+        ends = np.zeros(1 + max(int(np.frombuffer(self.end, "<u4")[0]), self.tokenizer.get_vocab_size(), *self.tokenizer.get_vocab().values()), bool)
+        for mark in (".", "!", "?", "…", "...", "。", "!!", "?!"):
+            ends[np.frombuffer(self.whole(mark), "<u4")[-1:]] = True
+        return ends
+
     def word(self, word: str) -> bytes:
-        known = self.seen.get(word) or self.before.get(word)
+        """Ids of one word of the file's own split, remembered."""
+        known = self.before.get(word)
         if known is None:
-            ids = [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))]
-            known = self.seen[word] = pack_ids(f"<{len(ids)}I", *ids)
+            # Printable ASCII stands for itself in the byte alphabet, control characters don't.
+            ids = [t.id for t in self.model.tokenize(word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters))]
+            known = pack_ids(f"<{len(ids)}I", *ids)
+        if len(self.seen) >= MEMORY:  # the last generation stays at hand, the one before goes
+            self.before, self.seen = self.seen, {}
+        self.seen[word] = known
         return known
 
     def run(self, run: str) -> bytes:
+        """Ids of a run between white space; its words are remembered."""
         # Letters alone are one word; so are the letters before a last mark, and the mark.
         if run.isalpha():
             return self.word(run)
-        if run[-1] in ".,;:!?" and run[:-1].isalpha():
-            return self.word(run[:-1]) + self.word(run[-1])
-        return b"".join(map(self.word, self.split(run)))
+        if run and run[-1] in self.marks and (rest := run[:-1]).isalpha():
+            return (self.seen.get(rest) or self.word(rest)) + self.marks[run[-1]]
+        return b"".join([self.seen.get(w) or self.word(w) for w in self.split(run)])
+
+    def gathered(self, lowered: list[str]) -> list[bytes]:
+        """Ids of plain, lower-cased texts."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        runs = pc.ascii_split_whitespace(pa.array(lowered, pa.string()))
+        coded = runs.flatten().dictionary_encode()
+        if not len(coded):
+            return [b""] * len(lowered)
+        distinct = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), " ")[0].as_py().split(" ")
+        found = [self.seen.get(w) or self.run(w) for w in distinct]
+        size = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        ids, start = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        count = size[which]
+        ends = np.cumsum(count)
+        at = np.repeat(start[which] - (ends - count), count)
+        at += np.arange(len(at))
+        marks = np.r_[0, ends][runs.offsets.to_numpy()]
+        raw = ids[at].tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip(marks, marks[1:])]
 
     def many(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, then the end id."""
-        out, runs, seen = [], [], self.seen
-        for text in texts:
+        out: list[bytes | None] = [None] * len(texts)
+        plain, where = [], []
+        for i, text in enumerate(texts):
             if self.split is None or not self.plain(text) or any(s in text for s in self.special):
-                runs.append(None)
+                out[i] = self.whole(text) + self.end
+            elif len(text) > STRETCH:
+                out[i] = b"".join(self.gathered([part.lower()])[0] for part in stretches(text)) + self.end
             else:
-                runs.append(unicodedata.normalize("NFC", text).lower().split())
-        new = set()
-        for part in runs:
-            if part:
-                new.update(part)
-        if len(seen) + len(new) > MEMORY:  # the last generation stays at hand, the one before goes
-            self.before, self.seen = seen, {}
-            seen = self.seen
-        before = self.before
-        for w in new.difference(seen):
-            seen[w] = before[w] if w in before else self.run(w)
-        for text, part in zip(texts, runs):
-            out.append((self.whole(text) if part is None else b"".join(map(seen.__getitem__, part))) + self.end)
+                plain.append(text.lower())
+                where.append(i)
+        for i, ids in zip(where, self.gathered(plain) if plain else []):
+            out[i] = ids + self.end
         return out
 
     def __call__(self, text: str) -> bytes:
         return self.many([text])[0]
 
 
+def stretches(text: str, most: int = STRETCH) -> Iterator[str]:
+    """The text in parts of about `most` characters, cut where ASCII white space stands."""
+    at = 0
+    while at < len(text):
+        cut = SPACE.search(text, min(len(text), at + most))
+        end = cut.end() if cut else len(text)
+        yield text[at:end]
+        at = end
+
+
 #: Encoders of this Python worker, kept from task to task.
 _ENCODERS: dict[tuple[str, int], WordEncoder] = {}
 
@@ -163,7 +212,10 @@ def plan(cuts: list[int], costs: list[float], capacity: int = CAPACITY, least_po
 
 
 class Packer:
-    """Collects documents and emits the pieces of finished windows."""
+    """Collects documents and emits the pieces of finished windows.
+
+    sentence_ends: by token id, whether a sentence can end there.
+    """
 
     def __init__(self, task: int, sentence_ends: np.ndarray, capacity: int = CAPACITY, horizon: int = HORIZON):
         self.next_sequence = task << 40
@@ -186,7 +238,7 @@ class Packer:
         marks, costs, at, limit = [], [], 0, self.horizon
         for _, ids, tokens, done in self.docs:
             part = np.frombuffer(ids, "<u4", min(tokens - done, limit - at), 4 * done)
-            inner = np.flatnonzero(np.isin(part, self.sentence_ends)) + at + 1
+            inner = np.flatnonzero(self.sentence_ends[part]) + at + 1
             end = at + len(part)
             inner = inner[inner < end]
             marks.append(inner)
@@ -259,8 +311,7 @@ def pack(documents: DataFrame, tokenizer: str, end_id: int = 2, text: str = "tex
 
         arrow = to_arrow_schema(schema)
         encode = encoder(tokenizer, end_id)
-        stops = [encode.whole(s) for s in (".", "!", "?", "…", "...", "。", "!!", "?!")]
-        packer = Packer(TaskContext.get().partitionId(), np.unique(np.concatenate([np.frombuffer(s, "<u4")[-1:] for s in stops])), capacity)
+        packer = Packer(TaskContext.get().partitionId(), encode.sentence_ends(), capacity)
 
         def batch(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
@@ -272,4 +323,4 @@ def pack(documents: DataFrame, tokenizer: str, end_id: int = 2, text: str = "tex
         if rows := packer.flush(True):
             yield batch(rows)
 
-    return documents.select(id_column, text).mapInArrow(run, schema)
+    return bounded(documents).select(id_column, text).mapInArrow(run, schema)
