@@ -4,30 +4,31 @@ A text becomes a histogram of hashed byte trigrams (square-rooted, unit length).
 classifier first picks the language family; within the family one-versus-one linear
 support vector machines (squared hinge loss) vote for the language, closest pairs last.
 
-Model: trained here, on at most `max_per_lang` labelled rows a language (those with the
-smallest id hashes), whole texts. Scoring covers every whole text.
-
-Defined results: null texts and texts without a letter get `und` with score 0, as does
-every text if there is no labelled row. With a single learned language all other texts get
-it with score 1. Repeated rows get equal answers; ties between languages go to the
-alphabetically first one.
+Model: trained here, on at most `max_per_lang` distinct labelled texts a language (those with
+the smallest text hashes), `max_rows` in all, whole texts. Executors count the trigrams; the
+driver gets the nonzero counts alone. Every language is learned. Scoring covers every whole text.
+
+Defined results: null texts and texts without a letter (Unicode class L) get `und` with score
+0, as does every text if there is no labelled row. With a single learned language all other
+texts get it with score 1. Ids play no part in learning, so null and repeated ids of any type
+are fine; repeated rows count once and get equal answers. Ties between languages go to the
+alphabetically first one. An empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspan.llm.arrowtext import blocks, bounded, map_texts
+from veilspan.session import materialize
 
 DIM = 8192
-MAX_PER_LANG = 500
-LETTER = re.compile(r"[^\W\d_]")
+MAX_PER_LANG, MAX_ROWS = 500, 8000
 
 #: Language families by ISO 639-1 code; any other code is a family of its own.
 FAMILIES = {
@@ -45,11 +46,24 @@ def family(lang: str) -> str:
     return next((name for name, codes in FAMILIES.items() if lang[:2].lower() in codes), lang)
 
 
-def histogram(text: str) -> np.ndarray:
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
+def counts(text: str) -> np.ndarray:
+    """How often each hashed trigram stands in the text."""
     raw = np.frombuffer(f" {text.lower()} ".encode("utf-8", "replace"), np.uint8).astype(np.uint32)
     hashed = ((raw[:-2] * np.uint32(0x9E3779B1)) ^ (raw[1:-1] * np.uint32(0x85EBCA6B)) ^ (raw[2:] * np.uint32(0xC2B2AE35))) * np.uint32(0x27D4EB2F)
-    counts = np.sqrt(np.bincount(hashed >> np.uint32(19), minlength=DIM).astype(np.float32))
-    return counts / max(float(np.sqrt((counts * counts).sum())), 1e-9)
+    return np.bincount(hashed >> np.uint32(19), minlength=DIM)
+
+
+def scaled(counted: np.ndarray) -> np.ndarray:
+    roots = np.sqrt(counted.astype(np.float32))
+    return roots / max(float(np.sqrt((roots * roots).sum())), 1e-9)
+
+
+def histogram(text: str) -> np.ndarray:
+    return scaled(counts(text))
 
 
 def linear_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 120) -> tuple[np.ndarray, float]:
@@ -76,6 +90,10 @@ class LanguageModel:
 
     @classmethod
     def fit(cls, texts: list[str], langs: list[str]) -> LanguageModel:
+        return cls.fit_histograms([histogram(t) for t in texts], langs)
+
+    @classmethod
+    def fit_histograms(cls, histograms: list[np.ndarray], langs: list[str]) -> LanguageModel:
         model, kinds = cls(), sorted(set(langs))
         groups: dict[str, list[str]] = {}
         for lang in kinds:
@@ -83,7 +101,7 @@ class LanguageModel:
         model.families = sorted(groups.items())
         if len(kinds) < 2:
             return model
-        x = np.stack([histogram(t) for t in texts])
+        x = np.stack(histograms)
         lang = np.array(langs)
         fam = np.array([family(a) for a in langs])
         columns = [linear_svm(x, np.where(fam == name, 1, -1).astype(np.float32)) for name, _ in model.families if len(model.families) > 1]
@@ -103,7 +121,7 @@ class LanguageModel:
             part = texts[at : at + 256]
             margins = np.stack([histogram(t) for t in part]) @ self.weights + self.bias if self.weights.shape[1] else np.zeros((len(part), 0))
             for text, m in zip(part, margins.astype(float)):
-                if not self.families or not LETTER.search(text):
+                if not self.families or not has_letter(text):
                     langs.append("und")
                     scores.append(0.0)
                     continue
@@ -124,23 +142,39 @@ class LanguageModel:
         return langs, scores
 
 
-def learn(documents: DataFrame, text: str = "text", lang: str = "lang", where: str = "true", max_per_lang: int = MAX_PER_LANG) -> LanguageModel:
-    """Fit on rows with text and lang that satisfy `where`: `max_per_lang` a language, by id hash.
+def learn(documents: DataFrame, text: str = "text", lang: str = "lang", where: str = "true", max_per_lang: int = MAX_PER_LANG, max_rows: int = MAX_ROWS) -> LanguageModel:
+    """Fit on rows with text and lang that satisfy `where`.
 
-    Ids are chosen first (a bounded top-k a language), then only those texts are read.
+    Hashes of the texts are ranked first (a bounded top-k a language); they are broadcast
+    (16 bytes each, `max_rows` or one a language at most), so only the chosen texts are counted.
     """
-    rows = documents.where(f"({where}) AND {lang} IS NOT NULL AND {text} IS NOT NULL")
-    kinds = [r[0] for r in rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(200).collect()]
-    chosen = None
-    for kind in kinds:
-        ids = rows.where(F.col(lang) == kind).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_lang)
-        chosen = ids if chosen is None else chosen.unionByName(ids)
-    if chosen is None:
+    rows = documents.where(f"({where}) AND `{lang}` IS NOT NULL AND `{text}` IS NOT NULL").select(F.col(lang).alias("_lang"), F.col(text).alias("_text"), F.xxhash64(text).alias("_hash"))
+    rows = rows.where(F.col("_text").rlike(r"\p{L}"))
+    distinct = rows.groupBy("_lang", "_hash").agg(F.lit(1))
+    n_langs = rows.select("_lang").distinct().count()
+    if not n_langs:
         return LanguageModel()
-    ids = [r[0] for r in chosen.collect()]
-    found = rows.join(F.broadcast(documents.sparkSession.createDataFrame([(i,) for i in sorted(set(ids))], "doc_id long")), "doc_id", "left_semi")
-    found = sorted((r[1], r[0]) for r in found.select(text, lang).limit(2 * len(ids)).collect() if LETTER.search(r[0]))
-    return LanguageModel.fit([t for _, t in found], [a for a, _ in found])
+    quota = max(1, min(max_per_lang, max_rows // n_langs))
+    rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_hash"))
+    chosen = materialize(distinct.select("_lang", "_hash", rank.alias("_rank")).where(F.col("_rank") <= quota).select("_lang", "_hash"), "chosen")
+
+    def work():
+        def step(columns, texts):
+            found = [counts(t) for t in texts]
+            at = [np.flatnonzero(c) for c in found]
+            return {"lang": columns[0], "hash": columns[1], "at": at, "n": [c[i] for c, i in zip(found, at)]}
+
+        return step
+
+    counted = map_texts(rows.join(F.broadcast(chosen), ["_lang", "_hash"]), ["_lang", "_hash", "_text"], "_text", "lang string, hash long, at array<int>, n array<int>", work)
+    found = sorted(map(tuple, counted.dropDuplicates(["lang", "hash"]).collect()))
+
+    def dense(at, n):
+        out = np.zeros(DIM, np.int64)
+        out[at] = n
+        return scaled(out)
+
+    return LanguageModel.fit_histograms([dense(at, n) for _, _, at, n in found], [r[0] for r in found])
 
 
 def identify(documents: DataFrame, model: LanguageModel, text: str = "text", id_column: str = "doc_id") -> DataFrame:
