@@ -8,20 +8,27 @@ verified by the share of the k-grams it covers that voted.
 
 Beside that, short base phrases are counted wherever their words stand consecutively.
 
+One walk over the texts: it counts the words, finds the phrases and keeps the k-grams whose
+hash may be a template's (a bit table of 2^16 hash ends lets one in fifty of the others
+pass). What it finds is written once, a few dozen bytes a row, and the join, the votes and the
+spans work on that.
+
 Defined results: null, empty and wordless texts have no words, places or labels and score 0.
-Very long texts are scanned whole. Rows that repeat an id each appear, with the union of the
-template labels found under that id; base counts are each row's own. An empty table gives an
-empty result. Other columns are ignored.
+Very long texts are scanned whole. Every row is judged by itself, whatever its id: null and
+repeated ids, and repeated rows, each get their own result. An empty table gives an empty
+result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilspan.llm.textexpr import ALNUM_RE, ascii_lower, gram_hashes, pinned, words
+from veilspan.session import materialize
 
 K = 3
 #: Diagonals at most this far apart belong to one span.
@@ -74,42 +81,20 @@ def template_grams(spark: SparkSession, templates=TEMPLATES, k: int = K) -> Data
     return table.withColumn("hash", F.xxhash64(*[F.xxhash64(parts[j]) for j in range(k)]))
 
 
-def spans(documents: DataFrame, text: str = "text", id_column: str = "doc_id", templates=TEMPLATES, k: int = K) -> DataFrame:
-    """(id, template, label, start, end, votes, share): verified spans, in words of the text."""
-    base = documents.select(id_column, pinned(words(ascii_lower(F.col(text)), ALNUM_RE)).alias("_w"))
-    base = base.select(id_column, "_w", pinned(F.transform("_w", lambda w: F.xxhash64(w))).alias("_h"))
-    grams = base.select(id_column, "_w", F.posexplode(gram_hashes(F.col("_h"), k)).alias("pos", "hash"))
-    # The template side is a constant of this module or of the caller, never a corpus table.
-    hits = grams.join(F.broadcast(template_grams(documents.sparkSession, templates, k)), "hash")
-    hits = hits.where(F.concat_ws(" ", *[F.get("_w", F.col("pos") + j) for j in range(k)]) == F.col("gram"))
-    keys = [id_column, "template", "label", "size"]
-    diagonals = hits.groupBy(*keys, (F.col("pos") - F.col("place")).alias("diagonal")).agg(
-        F.count("*").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.min("place").alias("from"), F.max("place").alias("to")
-    )
-    # Neighbouring diagonals of one template: an island ends where the gap is over DRIFT words.
-    order = Window.partitionBy(*keys).orderBy("diagonal")
-    new = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > DRIFT).cast("int"), F.lit(1))
-    islands = diagonals.withColumn("_new", new).withColumn("island", F.sum("_new").over(order))
-    merged = islands.groupBy(*keys, "island").agg(F.sum("votes").alias("votes"), F.min("first").alias("start"), (F.max("last") + k).alias("end"), F.min("from").alias("from"), F.max("to").alias("to"))
-    share = F.least(F.lit(1.0), F.col("votes") / F.greatest(F.col("to") - F.col("from") + 1, F.col("end") - F.col("start") - k + 1))
-    checked = merged.withColumn("share", share)
-    return checked.where((F.col("share") >= MIN_SHARE) & (F.col("votes") >= F.least(F.lit(float(MIN_VOTES)), 0.6 * F.col("size")))).select(id_column, "template", "label", "start", "end", "votes", "share", "size")
+def may_be(hashes: list[int]) -> Callable[[Column], Column]:
+    """A test whether a hash may be one of `hashes`: its last 16 bits in a bit table."""
+    table = [0] * 1024
+    for h in hashes:
+        table[h >> 6 & 1023] |= 1 << (h & 63)
+    bits = F.array(*[F.lit(x - (1 << 64) if x >> 63 else x) for x in table])
+    return lambda h: F.getbit(F.get(bits, F.shiftright(h, 6).bitwiseAND(F.lit(1023)).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
-def base_places(documents: DataFrame, text: str = "text", id_column: str = "doc_id", phrases=PHRASES) -> DataFrame:
-    """id, n_words, n_base, first_word, last_word and base_labels (array) of every row."""
-    lowered = documents.select(id_column, pinned(ascii_lower(F.coalesce(F.col(text), F.lit("")))).alias("_t"))
+def phrase_starts(phrases) -> Column:
+    """(i, p) for every word i of `_w` where phrase number p starts."""
     heads = sorted({p.split()[0] for p, _ in phrases})
-    may = F.lit(False)
-    for phrase, _ in phrases:
-        one = F.lit(True)
-        for w in phrase.split():
-            one = one & F.contains("_t", F.lit(w))
-        may = may | one
-    rows = lowered.select(id_column, F.size(words(F.col("_t"), ALNUM_RE)).cast("long").alias("n_words"), pinned(F.when(may, words(F.col("_t"), ALNUM_RE))).alias("_w"))
 
     def found(i: Column) -> Column:
-        """Numbers of the phrases that start at word i."""
         out = F.lit(None).cast("int")
         for number, (phrase, _) in enumerate(phrases):
             fits = F.lit(True)
@@ -118,15 +103,44 @@ def base_places(documents: DataFrame, text: str = "text", id_column: str = "doc_
             out = F.when(fits, F.lit(number)).otherwise(out)
         return out
 
-    starts = F.filter(F.transform("_w", lambda w, i: F.when(w.isin(heads), F.struct(i.alias("i"), found(i).alias("p")))), lambda x: x["p"].isNotNull())
-    rows = rows.select(id_column, "n_words", pinned(starts).alias("_s"))
-    names = F.array(*[F.lit(label) for _, label in phrases])
-    return rows.select(
-        id_column, "n_words", F.greatest(F.size("_s"), F.lit(0)).cast("long").alias("n_base"),
-        F.array_min(F.transform("_s", lambda x: x["i"])).cast("long").alias("first_word"),
-        F.array_max(F.transform("_s", lambda x: x["i"])).cast("long").alias("last_word"),
-        F.coalesce(F.array_sort(F.array_distinct(F.transform("_s", lambda x: F.get(names, x["p"])))), F.array().cast("array<string>")).alias("base_labels"),
-    )
+    return F.filter(F.transform("_w", lambda w, i: F.when(w.isin(heads), F.struct(i.alias("i"), found(i).alias("p")))), lambda x: x["p"].isNotNull())
+
+
+def walked(documents: DataFrame, text: str, id_column: str, phrases, templates, k: int) -> DataFrame:
+    """id, _row (a number of the row), n_words, _s (phrase starts) and _hits (k-grams that may be a template's); written once."""
+    grams = template_grams(documents.sparkSession, templates, k)
+    may = may_be([r[0] for r in grams.select("hash").distinct().collect()])
+    rows = documents.select(F.col(id_column).alias("_id"), pinned(words(ascii_lower(F.col(text)), ALNUM_RE)).alias("_w"))
+    rows = rows.select("_id", "_w", pinned(F.transform("_w", lambda w: F.xxhash64(w))).alias("_h"))
+    rows = rows.select("_id", "_w", pinned(F.filter(F.transform(gram_hashes(F.col("_h"), k), lambda h, i: F.when(may(h), F.struct(i.alias("pos"), h.alias("hash")))), lambda x: x.isNotNull())).alias("_m"))
+    hits = F.transform("_m", lambda x: F.struct(x["pos"].alias("pos"), x["hash"].alias("hash"), F.concat_ws(" ", *[F.get("_w", x["pos"] + j) for j in range(k)]).alias("gram")))
+    rows = rows.select("_id", F.monotonically_increasing_id().alias("_row"), F.size("_w").cast("long").alias("n_words"), phrase_starts(phrases).alias("_s"), hits.alias("_hits"))
+    return materialize(rows, "walked").withColumnRenamed("_id", id_column)
+
+
+def diagonal_spans(rows: DataFrame, templates=TEMPLATES, k: int = K) -> DataFrame:
+    """(_row, template, label, start, end, votes, share, size): verified spans of what `walked` gives."""
+    hits = rows.where(F.size("_hits") > 0).select("_row", F.explode("_hits").alias("x")).select("_row", F.col("x.pos").alias("pos"), F.col("x.hash").alias("hash"), F.col("x.gram").alias("_gram"))
+    # The template side is a constant of this module or of the caller, never a corpus table.
+    hits = hits.join(F.broadcast(template_grams(rows.sparkSession, templates, k)), "hash").where("_gram = gram")
+    keys = ["_row", "template", "label", "size"]
+    diagonals = hits.groupBy(*keys, (F.col("pos") - F.col("place")).alias("diagonal")).agg(
+        F.count("*").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.min("place").alias("from"), F.max("place").alias("to")
+    )
+    # Neighbouring diagonals of one template: an island ends where the gap is over DRIFT words.
+    order = Window.partitionBy(*keys).orderBy("diagonal")
+    new = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > DRIFT).cast("int"), F.lit(1))
+    islands = diagonals.withColumn("_new", new).withColumn("island", F.sum("_new").over(order))
+    merged = islands.groupBy(*keys, "island").agg(F.sum("votes").alias("votes"), F.min("first").alias("start"), (F.max("last") + k).alias("end"), F.min("from").alias("from"), F.max("to").alias("to"))
+    share = F.least(F.lit(1.0), F.col("votes") / F.greatest(F.col("to") - F.col("from") + 1, F.col("end") - F.col("start") - k + 1))
+    checked = merged.withColumn("share", share)
+    return checked.where((F.col("share") >= MIN_SHARE) & (F.col("votes") >= F.least(F.lit(float(MIN_VOTES)), 0.6 * F.col("size")))).select("_row", "template", "label", "start", "end", "votes", "share", "size")
+
+
+def spans(documents: DataFrame, text: str = "text", id_column: str = "doc_id", templates=TEMPLATES, k: int = K) -> DataFrame:
+    """(id, template, label, start, end, votes, share, size): verified spans, in words of the text, row by row."""
+    rows = walked(documents, text, id_column, PHRASES, templates, k)
+    return rows.select(id_column, "_row").join(diagonal_spans(rows, templates, k), "_row").drop("_row")
 
 
 def scan(documents: DataFrame, text: str = "text", id_column: str = "doc_id", phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
@@ -135,13 +149,15 @@ def scan(documents: DataFrame, text: str = "text", id_column: str = "doc_id", ph
     score: the best verified share, weighted by how much of the template stands there; at
     least 0.5 where a base phrase is found.
     """
-    places = base_places(documents, text, id_column, phrases)
+    rows = walked(documents, text, id_column, phrases, templates, K)
     worth = F.col("share") * F.least(F.lit(1.0), F.col("votes") / F.least(F.col("size"), F.lit(8)))
-    best = spans(documents, text, id_column, templates).groupBy(id_column).agg(F.collect_set("label").alias("_labels"), F.max(worth).alias("_score"))
-    joined = places.join(best, id_column, "left")
-    nothing = F.array().cast("array<string>")
-    return joined.select(
-        id_column, "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union("base_labels", F.coalesce("_labels", nothing))), ",").alias("labels"),
-        F.greatest(F.coalesce("_score", F.lit(0.0)), F.when(F.col("n_base") > 0, 0.5).otherwise(0.0)).alias("score"),
+    best = diagonal_spans(rows, templates).groupBy("_row").agg(F.collect_set("label").alias("_labels"), F.max(worth).alias("_score"))
+    names, nothing = F.array(*[F.lit(label) for _, label in phrases]), F.array().cast("array<string>")
+    base = F.coalesce(F.array_sort(F.array_distinct(F.transform("_s", lambda x: F.get(names, x["p"])))), nothing)
+    places = F.transform("_s", lambda x: x["i"])
+    return rows.join(best, "_row", "left").select(
+        id_column, "n_words", F.greatest(F.size("_s"), F.lit(0)).cast("long").alias("n_base"),
+        F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"),
+        F.array_join(base, ",").alias("base_labels"), F.array_join(F.array_sort(F.array_union(base, F.coalesce("_labels", nothing))), ",").alias("labels"),
+        F.greatest(F.coalesce("_score", F.lit(0.0)), F.when(F.size("_s") > 0, 0.5).otherwise(0.0)).alias("score"),
     )
