@@ -43,8 +43,10 @@ HORIZON = 64 * CAPACITY
 #: Cost of a cut at a sentence end and inside a sentence, in tokens of padding.
 SENTENCE_PENALTY, INNER_PENALTY = 4.0, 48.0
 #: Distinct words a worker remembers, twice over; characters of a text that are taken at a time.
-MEMORY, STRETCH = 200_000, 1 << 20
+MEMORY, STRETCH = 80_000, 1 << 20
 SPACE = re.compile(r"[\t-\r ]")
+#: Bytes of text that are taken at a time; ids and their places take some ten times as much.
+BLOCK = 2 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -72,14 +74,15 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        spec = json.load(open(path, encoding="utf-8"))
-        steps = spec["pre_tokenizer"]["pretokenizers"]
-        known = [n["type"] for n in spec["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in steps] == ["Split", "ByteLevel"]
+        # Only the steps are read as JSON: the whole file would leave its vocabulary in memory twice.
+        before, steps = (json.loads(step.__getstate__()) if step else {} for step in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer))
+        steps = steps.get("pretokenizers", [])
+        known = [n["type"] for n in before.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in steps] == ["Split", "ByteLevel"]
         self.split = regex.compile(steps[0]["pattern"]["Regex"]).findall if known else None
         self.model = self.tokenizer.model
         self.letters = dict(byte_alphabet())
         self.plain = regex.compile(self.PLAIN).fullmatch
-        self.special = tuple(t["content"] for t in spec["added_tokens"])
+        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.end = np.array([end_id], "<u4").tobytes()
         self.seen: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
@@ -89,9 +92,10 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def sentence_ends(self) -> np.ndarray:
-        ends = np.zeros(1 + max(int(np.frombuffer(self.end, "<u4")[0]), self.tokenizer.get_vocab_size(), *self.tokenizer.get_vocab().values()), bool)
-        for mark in (".", "!", "?", "…", "...", "。", "!!", "?!"):
-            ends[np.frombuffer(self.whole(mark), "<u4")[-1:]] = True
+        """By token id, whether a sentence can end there; the last entry stands for all ids beyond."""
+        marks = [np.frombuffer(self.whole(mark), "<u4")[-1] for mark in (".", "!", "?", "…", "...", "。", "!!", "?!")]
+        ends = np.zeros(max(marks) + 2, bool)
+        ends[marks] = True
         return ends
 
     def word(self, word: str) -> bytes:
@@ -238,7 +242,7 @@ class Packer:
         marks, costs, at, limit = [], [], 0, self.horizon
         for _, ids, tokens, done in self.docs:
             part = np.frombuffer(ids, "<u4", min(tokens - done, limit - at), 4 * done)
-            inner = np.flatnonzero(self.sentence_ends[part]) + at + 1
+            inner = np.flatnonzero(self.sentence_ends.take(part, mode="clip")) + at + 1
             end = at + len(part)
             inner = inner[inner < end]
             marks.append(inner)
@@ -316,7 +320,7 @@ def pack(documents: DataFrame, tokenizer: str, end_id: int = 2, text: str = "tex
         def batch(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
-        for part, texts in blocks(batches, text):
+        for part, texts in blocks(batches, text, BLOCK):
             rows = [row for i, ids in zip(part.column(0).to_pylist(), encode.many(texts)) for row in packer.add(i, ids)]
             if rows:
                 yield batch(rows)
