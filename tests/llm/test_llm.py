@@ -96,7 +96,17 @@ def test_language_odd(spark, documents, odd):
     assert langid.identify_rows(odd, model).columns[: len(odd.columns)] == odd.columns
     assert langid.identify(odd.limit(0), model).count() == 0
     one = langid.LanguageModel.fit(["hello"], ["en"])
-    assert one.predict(["abc", "1"]) == (["en", "und"], [1.0, 0.0])
+    assert one.predict(["abc", "1", "½ ² ① Ⅷ", "1 ß"]) == (["en", "und", "und", "en"], [1.0, 0.0, 0.0, 1.0])
+
+
+def test_language_learns_from_any_ids(spark):
+    """Null, repeated and string ids, copies and many languages."""
+    rows = [(None, f"the words number {i} of that language", "en") for i in range(20)] + [("x", f"les mots numero {i} de cette langue", "fr") for i in range(20)]
+    rows += [(f"k{i}", f"{chr(0x430 + i % 30) * 5} zz{i}", f"x{i}") for i in range(250)] + [("x", None, "fr"), ("y", "12", "en"), (None, rows[0][1], "en")]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id string, text string, lang string"), max_rows=2000)
+    assert {a for _, langs in model.families for a in langs} == {"en", "fr", *(f"x{i}" for i in range(250))}
+    found = langid.identify(spark.createDataFrame([(None, "words of that language"), ("a", "mots de cette langue")], "doc_id string, text string"), model).collect()
+    assert {r.lang_pred for r in found} == {"en", "fr"}
 
 
 # ------------------------------------------------------------------ urls
@@ -338,6 +348,57 @@ def test_license_templates(spark, odd):
     assert licenses.scan(odd.limit(0)).count() == 0
 
 
+def test_license_rows_are_judged_alone(spark):
+    """Null and repeated ids: no label wanders to another row, halves of a template don't add up."""
+    mit = licenses.TEMPLATES[0][1]
+    half = len(mit) // 2
+    rows = [(None, mit), (None, "nothing here"), (7, mit), (7, "nothing here"), (8, mit[:half]), (8, mit[half:]), (9, mit), (9, mit)]
+    got = Counter((r.doc_id, r.n_words, r.labels) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    n = len(licenses.template_words(mit))
+    assert got[None, n, "mit"] == got[7, n, "mit"] == 1 and got[9, n, "mit"] == 2
+    assert got[None, 2, ""] == got[7, 2, ""] == 1
+    alone = {r.n_words: r.labels for r in licenses.scan(spark.createDataFrame(rows[4:6], "doc_id long, text string").selectExpr("monotonically_increasing_id() AS doc_id", "text")).collect()}
+    assert all(got[8, k, v] for k, v in alone.items())
+
+
+def test_license_spans_brute_force(spark):
+    """Spans of texts that hold broken templates, against a plain version of votes, islands and verification."""
+    import random
+
+    rng, texts = random.Random(9), []
+    for i in range(40):
+        label, template = rng.choice(licenses.TEMPLATES)
+        w = licenses.template_words(template)
+        w = [x for x in w if rng.random() > 0.06]
+        for _ in range(rng.randrange(4)):
+            w.insert(rng.randrange(len(w) + 1), "extra")
+        texts.append(" ".join(["lead"] * rng.randrange(5) + w + ["tail"] * 3 + (w if i % 4 == 0 else [])))
+
+    def brute(text):
+        w, out = licenses.template_words(text), []
+        for number, (label, template) in enumerate(licenses.TEMPLATES):
+            t = licenses.template_words(template)
+            places = defaultdict(list)
+            for j in range(len(t) - 2):
+                places[tuple(t[j : j + 3])].append(j)
+            votes = sorted((i - j, i, j) for i in range(len(w) - 2) for j in places[tuple(w[i : i + 3])])
+            island = []
+            for v in [*votes, (10**9, 0, 0)]:
+                if island and v[0] - island[-1][0] > licenses.DRIFT:
+                    first, last = min(x[1] for x in island), max(x[1] for x in island) + 3
+                    low, high = min(x[2] for x in island), max(x[2] for x in island)
+                    share = min(1.0, len(island) / max(high - low + 1, last - first - 2))
+                    if share >= licenses.MIN_SHARE and len(island) >= min(licenses.MIN_VOTES, 0.6 * (len(t) - 2)):
+                        out.append((number, label, first, last, len(island), round(share, 9)))
+                    island = []
+                island.append(v)
+        return out
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.template, r.label, r.start, r.end, r.votes, round(r.share, 9)) for r in licenses.spans(df).collect())
+    assert got == sorted((i, *x) for i, t in enumerate(texts) for x in brute(t)) and len(got) >= 30
+
+
 # ------------------------------------------------------------------ packing
 
 
@@ -535,6 +596,17 @@ def test_decontamination(spark, documents, odd):
     assert kept.columns == odd.columns and kept.count() == odd.count() - 1
 
 
+def test_decontamination_by_text(spark):
+    """Repeated and null ids on both sides: the best text of a pair counts, clean rows stay."""
+    a, b = "one two three four five six seven", "red green blue black white grey"
+    items = spark.createDataFrame([(1, a), (1, b), (1, a), (2, a), (None, b)], "item_id long, text string")
+    docs = spark.createDataFrame([(5, f"x {a} y"), (5, "clean words alone here now"), (None, f"{a} z"), (None, "also clean words right here"), (6, f"{b} {a}"), (6, f"{b} {a}"), (7, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_shingles, r.n_found, r.containment) for r in decontaminate.contained(docs, items).collect()}
+    assert got == {(5, 1): (3, 3, 1.0), (5, 2): (3, 3, 1.0), (None, 1): (3, 3, 1.0), (None, 2): (3, 3, 1.0), (6, 1): (3, 3, 1.0), (6, 2): (3, 3, 1.0), (6, None): (2, 2, 1.0)}
+    kept = decontaminate.decontaminate(docs, items).collect()
+    assert sorted(map(str, kept)) == sorted(map(str, [r for r in docs.collect() if not r.text or "clean" in r.text]))
+
+
 # ------------------------------------------------------------------ pipeline
 
 

@@ -1,9 +1,13 @@
-"""Near-duplicates by exact similarity of word shingles, candidates from MinHash bands.
+"""Near-duplicates by exact similarity of word shingles: SimHash links, widened by MinHash bands.
 
 Two texts are near copies if their sets of distinct five-word shingles have a Jaccard
-similarity of `threshold` or more. Candidates share one of BANDS bands of ROWS MinHash values:
-a pair at 0.8 shares none with probability 3e-6. Every candidate pair is verified on the
-whole sets, so nothing is linked below the threshold. Components are joined by star contraction.
+similarity of `threshold` or more. The search has two parts. SimHash fingerprints over the same
+shingles go through the Gray-order index of `simhash`, which links those within its radius.
+That is not enough for right results at 0.8 (such pairs differ in ten of 64 bits on average,
+and an index of that radius prunes nothing), so candidates also come from BANDS bands of ROWS
+MinHash values: a pair at 0.8 shares none with probability 3e-6. Every candidate pair is
+verified on the whole sets, so nothing is linked below the threshold. Components are joined
+by star contraction.
 
 Texts with equal sets collapse before the search. All pairs of a band's texts are candidates
 up to WHOLE texts. In larger bands each text is first paired with the first one and with its
@@ -11,9 +15,10 @@ neighbours in the order of the next band, so a large group costs rows in proport
 size; then whatever these links leave outside the band's largest component is paired with the
 whole band, so no pair of two components goes unseen.
 
-Defined results: texts without words have the empty set and are copies of each other; a text
-of fewer words than a shingle is one shingle. Rows that repeat an id are rows of one document,
-which joins all their sets. Rows without an id are left out. Other columns are ignored.
+Defined results: texts without words (null, empty, blank) have the empty set and are copies of
+each other; a text of fewer words than a shingle is one shingle. Every row is judged by its
+text: rows that repeat an id with other texts are rows of their own, rows without an id come
+last in the order of ids. An empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,9 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.llm.arrowtext import map_texts
-from veilspan.llm.decontaminate import side
+from veilspan.llm.decontaminate import side, text_key
 from veilspan.llm.graph import components
-from veilspan.session import materialize
+from veilspan.llm.simhash import majority, near_links
+from veilspan.session import materialize, release
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
@@ -37,15 +43,20 @@ _MIX = _DRAW.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.
 _SALT = _DRAW.integers(0, 1 << 63, BANDS, np.uint64)
 
 
-def shingle_set(text: str, k: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes (XXH64) of the word shingles."""
+def shingle_hashes(text: str, k: int = SHINGLE) -> np.ndarray:
+    """Hashes (XXH64) of the word shingles, repeats included."""
     import xxhash
 
     tokens = text.lower().encode("utf-8", "surrogatepass").split()
     if not tokens:
         return np.zeros(0, np.uint64)
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(b" ".join(tokens[i : i + k]), 42) for i in range(max(1, len(tokens) - k + 1))], np.uint64))
+    return np.array([digest(b" ".join(tokens[i : i + k]), 42) for i in range(max(1, len(tokens) - k + 1))], np.uint64)
+
+
+def shingle_set(text: str, k: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles."""
+    return np.unique(shingle_hashes(text, k))
 
 
 def set_code(hashes: np.ndarray) -> int:
@@ -63,21 +74,34 @@ def bands(hashes: np.ndarray) -> np.ndarray:
 
 
 def signatures(documents: DataFrame, text: str, id_column: str, k: int = SHINGLE) -> DataFrame:
-    """id, code (of the shingle set), n (its size) and bands of every row."""
+    """id, _key (of the text), code (of the shingle set), n (its size), fp (fingerprint) and bands of every row."""
 
     def work():
         def step(columns, texts):
-            sets = [shingle_set(t, k) for t in texts]
+            every = [shingle_hashes(t, k) for t in texts]
+            sets = [np.unique(h) for h in every]
             return {
                 id_column: columns[0],
+                "_key": columns[1],
                 "code": np.array([set_code(s) for s in sets], np.uint64).view(np.int64),
                 "n": [len(s) for s in sets],
+                "fp": np.array([majority(h) for h in every], np.uint64).view(np.int64),
                 "bands": [bands(s).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets],
             }
 
         return step
 
-    return map_texts(documents, [id_column, text], text, f"{id_column} {dict(documents.dtypes)[id_column]}, code long, n int, bands array<bigint>", work)
+    return map_texts(documents, [id_column, "_key", text], text, f"{id_column} {dict(documents.dtypes)[id_column]}, _key string, code long, n int, fp long, bands array<bigint>", work)
+
+
+def fingerprint_pairs(distinct: DataFrame) -> DataFrame:
+    """(a, b): codes that the Gray-order index links, a forest over the fingerprints, and codes of equal fingerprints."""
+    codes = distinct.where("n > 0").select("fp", "code")
+    first = codes.groupBy("fp").agg(F.min("code").alias("first"))
+    linked = near_links(first.select("fp"))
+    ends = linked.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
+    both = ends.unionByName(codes.join(first, "fp").select(F.col("first").alias("x"), F.col("code").alias("y"))).where("x <> y")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def shared_bands(distinct: DataFrame) -> DataFrame:
@@ -138,11 +162,11 @@ def remaining_pairs(large: DataFrame, roots: DataFrame, threshold: float = THRES
     return _pairs(groups, _rest_pairs, threshold)
 
 
-def verified(pairs: DataFrame, by_code: DataFrame, named: DataFrame, text: str, id_column: str, k: int, threshold: float) -> DataFrame:
+def verified(pairs: DataFrame, by_code: DataFrame, keyed: DataFrame, text: str, k: int, threshold: float) -> DataFrame:
     """The pairs whose whole shingle sets are as similar as `threshold`."""
     # The sets of the candidates alone are made again, from one text each.
     wanted = pairs.select(F.col("a").alias("code")).unionByName(pairs.select(F.col("b").alias("code"))).distinct()
-    first = materialize(by_code.join(wanted, "code").select(F.col("_least").alias(id_column)).distinct(), "first")
+    first = materialize(by_code.join(wanted, "code").select(F.col("_least._key").alias("_key")).distinct(), "first")
 
     def work():
         def step(columns, texts):
@@ -151,34 +175,62 @@ def verified(pairs: DataFrame, by_code: DataFrame, named: DataFrame, text: str,
 
         return step
 
-    sets = map_texts(named.join(side(first, first.count()), id_column, "left_semi"), [text], text, "code long, hashes array<bigint>", work)
-    sets = materialize(sets.join(wanted, "code", "left_semi").dropDuplicates(["code"]), "sets")
+    sets = map_texts(keyed.join(side(first, first.count()), "_key", "left_semi"), [text], text, "code long, hashes array<bigint>", work)
+    sets = materialize(sets.dropDuplicates(["code"]), "sets")
     both = pairs.join(sets.select(F.col("code").alias("a"), F.col("hashes").alias("_p")), "a").join(sets.select(F.col("code").alias("b"), F.col("hashes").alias("_q")), "b")
     common = F.size(F.array_intersect("_p", "_q"))
-    return both.where(common >= threshold * (F.size("_p") + F.size("_q") - common) - 1e-9).select("a", "b")
+    out = materialize(both.where(common >= threshold * (F.size("_p") + F.size("_q") - common) - 1e-9).select("a", "b"), "verified")
+    release(first)
+    release(sets)
+    return out
 
 
 def near_duplicates(documents: DataFrame, text: str = "text", id_column: str = "doc_id", k: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """id, code, component_id (the smallest id that links reach) of every row with an id."""
-    named = documents.where(F.col(id_column).isNotNull())
-    signed = materialize(signatures(named, text, id_column, k), "signed")
-    prints = signed.select(id_column, "code")
-    by_code = materialize(signed.groupBy("code").agg(F.min(id_column).alias("_least"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")), "codes")
+    """id, _key, code, component_id (the smallest id that links reach) and keeper of every row.
+
+    keeper: the row has the smallest id of its component and, of several texts under that id,
+    the one with the smallest key (an MD5 of the text). Rows that repeat both are all keepers.
+    """
+    keyed = documents.select(id_column, F.coalesce(F.col(text), F.lit("")).alias(text)).withColumn("_key", text_key(F.col(text)))
+    signed = materialize(signatures(keyed, text, id_column, k), "signed")
+    prints = signed.select(id_column, "_key", "code")
+    least_row = F.min(F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), "_key")).alias("_least")
+    by_code = materialize(signed.groupBy("code").agg(least_row, F.any_value("n").alias("n"), F.min("fp").alias("fp"), F.any_value("bands").alias("bands")), "codes")
     shared = materialize(shared_bands(by_code.where("n > 0")), "bands")
-    pairs = materialize(candidate_pairs(shared, threshold), "pairs")
-    links = verified(pairs, by_code, named, text, id_column, k, threshold)
-    # Rows that repeat an id tie their different sets together.
-    twice = prints.groupBy(id_column).agg(F.min("code").alias("a"), F.count("*").alias("_n")).where("_n > 1")
-    ties = prints.join(twice.select(id_column, "a"), id_column).where("code <> a").select("a", F.col("code").alias("b"))
-    roots = materialize(components(links.unionByName(ties)), "roots")
+    pairs = materialize(candidate_pairs(shared, threshold).unionByName(fingerprint_pairs(by_code)).distinct(), "pairs")
+    roots = materialize(components(verified(pairs, by_code, keyed, text, k, threshold)), "roots")
     large = shared.where(F.size("x") > WHOLE)
     if not large.isEmpty():
         rest = materialize(remaining_pairs(large, roots, threshold).join(pairs, ["a", "b"], "left_anti"), "rest")
         if not rest.isEmpty():
-            more = verified(rest, by_code, named, text, id_column, k, threshold)
+            more = verified(rest, by_code, keyed, text, k, threshold)
             roots = materialize(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "roots")
+        release(rest)
     tied = by_code.select("code", "_least").join(roots.withColumnRenamed("node", "code"), "code")
-    least = tied.groupBy("root").agg(F.min("_least").alias("component_id"))
-    linked = materialize(tied.join(least, "root").select("code", "component_id"), "linked")
-    final = by_code.join(linked, "code", "left").select("code", F.coalesce("component_id", "_least").alias("component_id"))
-    return prints.join(final, "code").select(id_column, "code", "component_id")
+    best = tied.groupBy("root").agg(F.min("_least").alias("_best"))
+    linked = materialize(tied.join(best, "root").select("code", "_best"), "linked")
+    final = materialize(by_code.select("code", "_least").join(linked, "code", "left").select("code", F.coalesce("_best", "_least").alias("_best")), "final")
+    for done in (shared, pairs, roots, linked, by_code):
+        release(done)
+    is_keeper = F.col(id_column).eqNullSafe(F.col("_best.id")) & (F.col("_key") == F.col("_best._key"))
+    return prints.join(final, "code").select(id_column, "_key", "code", F.col("_best.id").alias("component_id"), is_keeper.alias("keeper"))
+
+
+def first_of_each(documents: DataFrame, text: str = "text", id_column: str = "doc_id", **options) -> DataFrame:
+    """`documents` with one row of each group of near copies, all columns: the keeper's.
+
+    The rows that go are known by id and key; they are broadcast up to a counted size, so texts
+    are not shuffled. Of rows that repeat the keeper's id and text, any one stays.
+    """
+    found = materialize(near_duplicates(documents, text, id_column, **options), "near")
+    gone = materialize(found.where("NOT keeper").select(F.col(id_column).alias("_id"), "_key").distinct(), "gone")
+    keyed = documents.withColumn("_key", text_key(F.coalesce(F.col(text), F.lit(""))))
+    same = lambda other: (keyed["_key"] == other["_key"]) & keyed[id_column].eqNullSafe(other["_id"])
+    kept = keyed.join(side(gone, gone.count()), same(gone), "left_anti")
+    repeated = materialize(found.where("keeper").groupBy(F.col(id_column).alias("_id"), "_key").count().where("count > 1").select("_id", "_key"), "repeated")
+    if repeated.isEmpty():
+        return kept.select(*documents.columns)
+    # Rows that repeat an id and a text are rare; only they are shuffled to leave one of each.
+    match = (kept["_key"] == repeated["_key"]) & kept[id_column].eqNullSafe(repeated["_id"])
+    once = kept.join(repeated, match, "left_semi").dropDuplicates(["_key", id_column])
+    return kept.join(repeated, match, "left_anti").unionByName(once).select(*documents.columns)

@@ -52,9 +52,14 @@ def fingerprint_bytes(raw: bytes, k: int = SHINGLE) -> int:
         hashes = [digest(b"%b %b %b" % gram, 42) for gram in zip(tokens, tokens[1:], tokens[2:])]
     else:
         hashes = [digest(b" ".join(tokens[i : i + k]), 42) for i in range(len(tokens) - k + 1)]
+    return majority(np.array(hashes, np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in more than half of the hashes, as one number."""
     seen = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 4096):
-        part = np.array(hashes[at : at + 4096], "<u8")
+        part = np.ascontiguousarray(hashes[at : at + 4096], "<u8")
         seen += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * seen > len(hashes), bitorder="little").view("<u8")[0])
 
