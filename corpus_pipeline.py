@@ -18,7 +18,11 @@ MIN_LANGUAGE_SCORE = 0.3
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rule and the learned decision list."""
+    """Documents that pass the base rule and the learned decision list.
+
+    A null, empty or blank text fails the base rule. Rows are judged one by one; without labels
+    of both kinds the base rule alone decides.
+    """
     rules = quality.learn(docs, table(spark, sf_dir, "labels"))
     # The row travels as one struct, so its column names cannot clash with the statistics'.
     stats = quality.statistics(docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text")), "_text", ("_row",))
@@ -26,31 +30,31 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the model tells; texts without letters or like no language go."""
+    """Documents whose language the model tells; texts without letters, and the least sure ones, go.
+
+    Null texts go too. Rows are judged one by one; with no labelled row nothing is told, and all go.
+    """
     model = langid.learn(docs)
     found = langid.identify_rows(docs, model)
     return found.where((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8), the one with the smallest id."""
-    gone = neardup.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    # Rows that repeat an id are rare; only they are shuffled to leave one of each.
-    repeated = materialize(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    """One document of each group of near copies (five-word shingles, similarity 0.8), the one with the smallest id.
+
+    Texts decide: documents that share an id but not a text both stay, of repeated rows one
+    stays, rows without an id give way to those with one. Texts without words are one group.
+    """
+    return neardup.first_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null texts hold none, ids play no part."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 4096 tokens."""
+    """Pieces of the documents in sequences of 4096 tokens; every row is packed, repeated ones too."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
