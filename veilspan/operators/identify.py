@@ -17,17 +17,29 @@ from veilspan.functions import lexicon as L
 SPAN = "struct<start:int,end:int,label:string,source:string,score:double,replacement:string>"
 
 _PATTERNS = [(label, re.compile(p, re.I if loose else 0), score) for label, p, loose, score in L.DETECTORS]
-_PHRASES = [(label, re.compile(r"(?<!\w)" + re.escape(p) + r"(?!\w)", re.I)) for label, ps in L.PHRASES for p in ps]
+_PHRASES = [(label, p.lower(), re.compile(r"(?<!\w)" + re.escape(p) + r"(?!\w)", re.I)) for label, ps in L.PHRASES for p in ps]
 
 
 def span(start, end, label, source, score=1.0, replacement=None) -> dict:
     return {"start": start, "end": end, "label": label, "source": source, "score": score, "replacement": replacement}
 
 
+_DIGIT = re.compile(r"\d")
+#: What a text must hold for a detector to find anything: a quick test before the pattern runs.
+_NEEDS = {"EMAIL": ("@",), "HANDLE": ("@",), "URL": ("://", "www."), "FAMILY_RELATION": ("cousin", "brother", "aunt", "uncle", "mother", "father", "sister"), "SOURCE_MARKER": ("posted", "wrote", "shared", "contact")}
+
+
 def candidates(text: str) -> list[dict]:
     """All pattern and phrase hits, in detector order."""
-    out = [span(m.start(), m.end(), label, "regex", score) for label, pattern, score in _PATTERNS for m in pattern.finditer(text)]
-    return out + [span(m.start(), m.end(), label, "phrase") for label, pattern in _PHRASES for m in pattern.finditer(text)]
+    low, digits = text.casefold(), bool(_DIGIT.search(text))
+    out = []
+    for label, pattern, score in _PATTERNS:
+        if any(part in low for part in _NEEDS[label]) if label in _NEEDS else digits:
+            out += [span(m.start(), m.end(), label, "regex", score) for m in pattern.finditer(text)]
+    for label, phrase, pattern in _PHRASES:
+        if phrase in low:
+            out += [span(m.start(), m.end(), label, "phrase") for m in pattern.finditer(text)]
+    return out
 
 
 def resolve(spans: list[dict]) -> list[dict]:
@@ -108,7 +120,7 @@ def phrase_rows(df: DataFrame, id_column: str = "row_id", text: str = "text") ->
     """(id, found): label, phrase and start of every phrase hit of every row, overlaps included."""
 
     def step(i, t):
-        return i, [{"label": label, "phrase": m.group().lower(), "s": m.start()} for label, pattern in _PHRASES for m in pattern.finditer(t or "")]
+        return i, [{"label": label, "phrase": m.group().lower(), "s": m.start()} for label, _, pattern in _PHRASES for m in pattern.finditer(t or "")]
 
     return _map(df, [id_column, text], f"{id_column} {dict(df.dtypes)[id_column]}, found array<struct<label:string,phrase:string,s:int>>", step)
 
@@ -119,18 +131,6 @@ def mask_rows(df: DataFrame, quasi: bool = False, id_column: str = "row_id", tex
     return _map(df, [id_column, text], f"{id_column} {dict(df.dtypes)[id_column]}, released_text string", lambda i, t: (i, mask(t or "", resolve(candidates(t or "")), labels)))
 
 
-def mask_gold_rows(df: DataFrame, quasi: bool = False, id_column: str = "row_id", text: str = "text", gold: str = "gold") -> DataFrame:
-    """(id, released_text, literals): like mask_rows, the known spans of `gold` masked too; literals are their label, start and text."""
-    labels = set(L.DIRECT + (L.QUASI if quasi else []))
-
-    def step(i, t, known):
-        t = t or ""
-        spans = resolve([*(known or []), *candidates(t)])
-        return i, mask(t, spans, labels), [{"label": g["label"], "s": g["start"], "literal": t[g["start"] : g["end"]]} for g in known or []]
-
-    return _map(df, [id_column, text, gold], f"{id_column} {dict(df.dtypes)[id_column]}, released_text string, literals array<struct<label:string,s:int,literal:string>>", step)
-
-
 def inject_rows(df: DataFrame, seed: int = 17, id_column: str = "row_id", index: str = "row_index", text: str = "text") -> DataFrame:
     """(id, template, text, gold): every row with one template of made-up identifiers."""
     return _map(df, [id_column, index, text], f"{id_column} {dict(df.dtypes)[id_column]}, template string, text string, gold array<{SPAN}>", lambda i, n, t: (i, *inject(t or "", seed, n)))

@@ -18,12 +18,12 @@ def pick(q, salt, values):
 @relation("draws", "rows")
 def _(q):
     named = {"template": L.TEMPLATES, "handle": L.HANDLES, "person": L.PEOPLE, "school": L.SCHOOLS, "email": L.EMAILS, "date": L.DATES, "city": L.LOCATIONS, "relation": L.FAMILY_RELATIONS, "phone": L.PHONES, "workplace": L.WORKPLACES, "event": L.EVENTS}
-    return "SELECT row_id, text, " + ", ".join(f"{pick(q, '17-' + k, v)} AS p_{k}" for k, v in named.items()) + " FROM rows"
+    return "SELECT row_id, split, functionality, binary_label, text, " + ", ".join(f"{pick(q, '17-' + k, v)} AS p_{k}" for k, v in named.items()) + " FROM rows"
 
 
 @relation("injected", "draws")
 def _(q):
-    return """SELECT row_id, p_template AS template, p_handle, p_person, p_school, p_email, p_date, p_city, p_relation, p_phone, p_workplace, p_event, CASE p_template
+    return """SELECT row_id, split, functionality, binary_label, p_template AS template, p_handle, p_person, p_school, p_email, p_date, p_city, p_relation, p_phone, p_workplace, p_event, CASE p_template
 WHEN 'handle_prefix' THEN concat(p_handle, ' said: ', text)
 WHEN 'person_school_prefix' THEN concat(p_person, ' from ', p_school, ' wrote: ', text)
 WHEN 'date_city_prefix' THEN concat('On ', p_date, ', ', p_person, ' in ', p_city, ' posted: ', text)
@@ -32,17 +32,30 @@ WHEN 'workplace_suffix' THEN concat(text, ' - shared near ', p_workplace, ' afte
 ELSE concat(text, ' Contact: ', p_email) END AS text, length(text) AS n FROM draws"""
 
 
+#: What each template puts in: (template, label, value, start).
+GOLD = [
+    ("handle_prefix", "HANDLE", "p_handle", "0"),
+    ("person_school_prefix", "PERSON", "p_person", "0"), ("person_school_prefix", "SCHOOL", "p_school", "length(p_person) + 6"),
+    ("date_city_prefix", "DATE", "p_date", "3"), ("date_city_prefix", "PERSON", "p_person", "length(p_date) + 5"), ("date_city_prefix", "LOCATION", "p_city", "length(p_date) + length(p_person) + 9"),
+    ("family_prefix", "FAMILY_RELATION", "p_relation", "3"), ("family_prefix", "PERSON", "p_person", "length(p_relation) + 4"), ("family_prefix", "PHONE", "p_phone", "length(p_relation) + length(p_person) + 6"),
+    ("workplace_suffix", "WORKPLACE", "p_workplace", "n + 15"), ("workplace_suffix", "EVENT", "p_event", "n + length(p_workplace) + 26"),
+    ("email_suffix", "EMAIL", "p_email", "n + 10"),
+]
+
+
 @relation("gold_spans", "injected")
 def _(q):
-    parts = [
-        ("handle_prefix", "HANDLE", "p_handle", "0"),
-        ("person_school_prefix", "PERSON", "p_person", "0"), ("person_school_prefix", "SCHOOL", "p_school", "length(p_person) + 6"),
-        ("date_city_prefix", "DATE", "p_date", "3"), ("date_city_prefix", "PERSON", "p_person", "length(p_date) + 5"), ("date_city_prefix", "LOCATION", "p_city", "length(p_date) + length(p_person) + 9"),
-        ("family_prefix", "FAMILY_RELATION", "p_relation", "3"), ("family_prefix", "PERSON", "p_person", "length(p_relation) + 4"), ("family_prefix", "PHONE", "p_phone", "length(p_relation) + length(p_person) + 6"),
-        ("workplace_suffix", "WORKPLACE", "p_workplace", "n + 15"), ("workplace_suffix", "EVENT", "p_event", "n + length(p_workplace) + 26"),
-        ("email_suffix", "EMAIL", "p_email", "n + 10"),
-    ]
-    return "\nUNION ALL ".join(f"SELECT row_id, '{label}' AS label, {value} AS literal, CAST({start} AS INT) AS s, CAST({start} + length({value}) AS INT) AS e FROM injected WHERE template = '{t}'" for t, label, value, start in parts)
+    return "\nUNION ALL ".join(f"SELECT row_id, '{label}' AS label, {value} AS literal, CAST({start} AS INT) AS s, CAST({start} + length({value}) AS INT) AS e FROM injected WHERE template = '{t}'" for t, label, value, start in GOLD)
+
+
+@relation("subject", "injected")
+def _(q):
+    """The rows that are released: injected texts, their known identifiers, and target groups that stand in for annotated ones."""
+    gold = ""
+    if q.name == "spark":
+        parts = {t: [f"named_struct('start', CAST({start} AS INT), 'end', CAST({start} + length({value}) AS INT), 'label', '{label}')" for u, label, value, start in GOLD if u == t] for t in L.TEMPLATES}
+        gold = ", CASE template " + " ".join(f"WHEN '{t}' THEN array({', '.join(p)})" for t, p in parts.items()) + " END AS gold"
+    return f"SELECT row_id, split, functionality, binary_label, text, CASE row_id % 5 WHEN 0 THEN 'with/for|None' WHEN 1 THEN 'les_pas' ELSE '' END AS target_groups{gold} FROM injected"
 
 
 @plan("d4_inject", "injected")
@@ -79,6 +92,67 @@ def _(q):
     return "SELECT row_id, label, lit, s, e FROM pattern_spans"
 
 
+@relation("phrase_spans", "injected")
+def _(q):
+    # Handles are left to their pattern, which finds the same places.
+    out = []
+    for label, phrases in L.PHRASES:
+        for phrase in phrases if label != "HANDLE" else ():
+            pattern = "(?i)\\b" + phrase.replace(".", "[.]") + "\\b"
+            hits, gaps = q.findall("text", pattern), q.pieces("text", pattern)
+            out.append(f"""SELECT row_id, '{label}' AS label, CAST(e - length(lit) AS INT) AS s, CAST(e AS INT) AS e FROM (SELECT row_id, lit, sum(length(lit) + length(gap)) OVER (PARTITION BY row_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS e FROM (
+SELECT row_id, i, hits[i + 1] AS lit, gaps[i + 1] AS gap FROM (SELECT *, unnest(range(len(hits))) AS i FROM (SELECT row_id, {hits} AS hits, {gaps} AS gaps FROM injected WHERE contains(lower(text), {q.text(phrase.lower())})))) x) y""")
+    return "\nUNION ALL ".join(out)
+
+
+@relation("identifiers", "gold_spans", "pattern_spans", "phrase_spans")
+def _(q):
+    # A fold over the candidates in order: one that outranks all it overlaps takes their place.
+    order = {label: i + 1 for i, (label, *_) in enumerate(L.DETECTORS)}
+    number = "CASE label " + " ".join(f"WHEN '{k}' THEN {i}" for k, i in order.items()) + " END"
+    over = "b[1].g > k.g OR (b[1].g = k.g AND (b[1].score > k.score OR (b[1].score = k.score AND b[1].e - b[1].s > k.e - k.s)))"
+    rival = "k.s < b[1].e AND b[1].s < k.e"
+    fold = f"""list_reduce(list_transform(c, lambda z: [z]), lambda a, b: CASE WHEN len(list_filter(a, lambda k: {rival} AND NOT ({over}))) = 0 THEN list_concat(list_filter(a, lambda k: NOT ({rival})), b) ELSE a END)"""
+    return f"""SELECT row_id, x.s AS s, x.e AS e, x.label AS label, x.score AS score FROM (SELECT row_id, unnest({fold}) AS x FROM (
+SELECT row_id, list(struct_pack(s := s, e := e, g := g, score := score, label := label) ORDER BY s, g DESC, score DESC, e - s DESC, ord) AS c FROM (
+SELECT row_id, s, e, 1 AS g, {q.d(1.0)} AS score, label, 0 AS ord FROM gold_spans
+UNION ALL SELECT row_id, s, e, 0 AS g, CASE WHEN label = 'DATE' THEN {q.d(1.2)} ELSE {q.d(1.0)} END AS score, label, {number} AS ord FROM pattern_spans
+UNION ALL SELECT row_id, s, e, 0 AS g, {q.d(1.0)} AS score, label, 99 AS ord FROM phrase_spans) u GROUP BY row_id) l) r"""
+
+
+@plan("c3_resolve_overlaps", "identifiers")
+def _(q):
+    return "SELECT row_id, s, e, label FROM identifiers"
+
+
+@plan("d3_detect_identifiers", "identifiers")
+def _(q):
+    kind = f"CASE WHEN {q.in_list('label', L.DIRECT)} THEN 'direct' ELSE 'quasi' END"
+    return f"SELECT row_id, s, e, label, score, {kind} AS kind, concat('[', label, ']') AS replacement FROM identifiers"
+
+
+@relation("residuals", "gold_spans", "releases")
+def _(q):
+    return "SELECT g.row_id, r.variant, g.label, g.s, contains(r.released_text, g.literal) AS residual FROM gold_spans g JOIN releases r ON g.row_id = r.row_id"
+
+
+@plan("d8_residual_literals", "residuals")
+def _(q):
+    return "SELECT row_id, variant, label, s, residual FROM residuals"
+
+
+@plan("j8_residual_rates", "residuals")
+def _(q):
+    return f"""SELECT variant, kind, count(*) AS total, count_if(residual) AS n_residual, count_if(residual) / CAST(count(*) AS DOUBLE) AS residual_rate, 1 - count_if(residual) / CAST(count(*) AS DOUBLE) AS removed_recall
+FROM (SELECT variant, residual, CASE WHEN {q.in_list('label', L.DIRECT)} THEN 'direct' ELSE 'quasi' END AS kind FROM residuals) x GROUP BY variant, kind"""
+
+
+@plan("d7_privacy_risk", "release_pii_mask")
+def _(q):
+    scrubbed = q.sub("released_text", r"\[(?:EMAIL|URL|HANDLE|PERSON|PHONE|SCHOOL|WORKPLACE|EVENT)\]", "")
+    return f"SELECT row_id, {q.matches(scrubbed, r'[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}|https?://|www[.]|@[A-Za-z0-9_]{2,}')} AS at_risk FROM release_pii_mask"
+
+
 @plan("d6_span_json", "gold_spans")
 def _(q):
     return "SELECT row_id, s, concat('{\"start\":', CAST(s AS STRING), ',\"end\":', CAST(e AS STRING), ',\"label\":\"', label, '\"}') AS json FROM gold_spans"
@@ -156,9 +230,9 @@ def _(q):
     return "SELECT row_id, variant, hate, target FROM judged"
 
 
-@plan("k3_candidates", "rows", "stance_rows", "window_kept")
+@plan("k3_candidates", "subject", "stance_rows", "window_kept")
 def _(q):
-    return """SELECT r.row_id, coalesce(w.n_spans, 0) AS matched_spans FROM rows r JOIN stance_rows s ON r.row_id = s.row_id AND s.relevant
+    return """SELECT r.row_id, coalesce(w.n_spans, 0) AS matched_spans FROM subject r JOIN stance_rows s ON r.row_id = s.row_id AND s.relevant
 LEFT JOIN (SELECT row_id, count(*) AS n_spans FROM window_kept GROUP BY row_id) w ON r.row_id = w.row_id"""
 
 
@@ -193,10 +267,11 @@ def _(q):
 
 
 def mcnemar(q, a, b):
-    """Exact two-sided p: twice the lower binomial tail at one half, in log space, six decimals."""
+    """Exact two-sided p: twice the lower binomial tail at one half, six decimals. Each term's logarithm follows from the one before."""
     n, k = f"({a} + {b})", f"least({a}, {b})"
     if q.name == "spark":
-        body = f"aggregate(transform(sequence(0, CAST({k} AS INT)), i -> exp(aggregate(CASE WHEN i > 0 THEN sequence(1, i) ELSE array() END, 0D, (s, j) -> s + ln({n} - j + 1D) - ln(CAST(j AS DOUBLE))) - {n} * ln(2D))), 0D, (s, x) -> s + x)"
+        step = f"x.t + ln({n} - j + 1D) - ln(CAST(j AS DOUBLE))"
+        body = f"aggregate(CASE WHEN {k} > 0 THEN sequence(1L, {k}) ELSE array() END, named_struct('t', -{n} * ln(2D), 'p', exp(-{n} * ln(2D))), (x, j) -> named_struct('t', {step}, 'p', x.p + exp({step})), x -> x.p)"
     else:
         body = f"list_sum(list_transform(range(0, {k} + 1), lambda i: exp(lgamma(CAST({n} + 1 AS DOUBLE)) - lgamma(CAST(i + 1 AS DOUBLE)) - lgamma(CAST({n} - i + 1 AS DOUBLE)) - {n} * ln(CAST(2 AS DOUBLE)))))"
     return f"CASE WHEN {n} = 0 THEN {q.d(1.0)} ELSE round(least({q.d(1.0)}, 2 * {body}), 6) END"
@@ -258,7 +333,7 @@ SHUFFLE = "md5(concat('17:', CAST(row_id AS STRING)))"
 def _(q):
     # At most max(2, quota / 5) of a reason first; what is still open is filled up in order.
     return f"""SELECT row_id, label, reason FROM (SELECT row_id, label, reason, row_number() OVER (PARTITION BY label ORDER BY CASE WHEN rn <= 8 THEN 0 ELSE 1 END, {PRIORITY}, digest, row_id) AS pick FROM (
-SELECT row_id, label, reason, {SHUFFLE} AS digest, row_number() OVER (PARTITION BY label, reason ORDER BY {SHUFFLE}, row_id) AS rn FROM reasons) a) b WHERE pick <= 40"""
+SELECT row_id, label, reason, {SHUFFLE} AS digest, row_number() OVER (PARTITION BY label, reason ORDER BY {SHUFFLE}, row_id) AS rn FROM reasons) a WHERE rn <= 40) b WHERE pick <= 40"""
 
 
 @plan("m2_stratified_selection", "selected")
@@ -304,7 +379,7 @@ def _(q):
 @plan("m7_audit_selection", "reasons")
 def _(q):
     return f"""SELECT row_id, label, reason FROM (SELECT row_id, label, reason, row_number() OVER (PARTITION BY label ORDER BY rn, {PRIORITY}) AS pick FROM (
-SELECT row_id, label, reason, row_number() OVER (PARTITION BY label, reason ORDER BY {SHUFFLE}, row_id) AS rn FROM reasons) a) b WHERE pick <= 30"""
+SELECT row_id, label, reason, row_number() OVER (PARTITION BY label, reason ORDER BY {SHUFFLE}, row_id) AS rn FROM reasons) a WHERE rn <= 30) b WHERE pick <= 30"""
 
 
 @relation("audit", "bundles", "judged")

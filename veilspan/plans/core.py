@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from veilspan.functions import lexicon as L
+from veilspan.operators import release
 from veilspan.plans.dialect import plan, relation
 
 LEX = L.SYNTHETIC
-TOP_K, MIN_DELTA, SHARE, RADIUS, GAP, MERGE_GAP = 5, 0.02, 0.30, 2, 8, 12
+VARIANTS, WHOLE_TEXT = release.VARIANTS, release.WHOLE_TEXT
+_SET = release.Settings()
+TOP_K, MIN_DELTA, SHARE, RADIUS, GAP, MERGE_GAP = _SET.top_k, _SET.min_delta, _SET.share, _SET.radius, _SET.gap, _SET.merge_gap
 
 # ---------------------------------------------------------------- sources (A)
 
@@ -62,7 +65,7 @@ FROM tokens t LEFT JOIN (SELECT row_id, {nums} AS nums FROM tox_spans) p ON t.ro
 
 @relation("sampled", "rows")
 def _(q):
-    return "SELECT * FROM (SELECT *, row_number() OVER (ORDER BY md5(concat('17:', CAST(row_id AS STRING))), row_id) AS pick FROM (SELECT row_id, split, functionality FROM rows)) WHERE pick <= 100"
+    return "SELECT row_id, split, functionality FROM rows ORDER BY md5(concat('17:', CAST(row_id AS STRING))), row_id LIMIT 100"
 
 
 @plan("a8_sample_rows", "sampled")
@@ -97,9 +100,9 @@ def _(q):
 # ---------------------------------------------------------------- tokens and text functions (B)
 
 
-@relation("tok_lists", "rows")
+@relation("tok_lists", "subject")
 def _(q):
-    return f"SELECT row_id, {q.findall('text', L.TOKEN)} AS toks, {q.pieces('text', L.TOKEN)} AS gaps FROM rows"
+    return f"SELECT row_id, {q.findall('text', L.TOKEN)} AS toks, {q.pieces('text', L.TOKEN)} AS gaps FROM subject"
 
 
 @relation("tok_rows", "tok_lists")
@@ -188,10 +191,17 @@ def _(q):
     return q.values([(q.text(label), q.text(term)) for label, term in LEX.labelled()], "cue, term")
 
 
-@relation("cues", "tokens", "lexicon")
+@relation("group_terms", "subject")
 def _(q):
-    hint = "/*+ BROADCAST(x) */ " if q.name == "spark" else ""
-    return f"SELECT {hint}t.row_id, t.idx, t.tok, t.low, t.s, t.e, x.cue FROM tokens t JOIN lexicon x ON t.low = x.term"
+    # The terms that a row's own target groups add: their names, and the longer words of these.
+    return """SELECT DISTINCT row_id, unnest(list_prepend(name, list_filter(string_split(name, ' '), lambda w: length(w) > 2))) AS term FROM (
+SELECT row_id, trim(regexp_replace(lower(g), '[_/-]+', ' ', 'g')) AS name FROM (SELECT row_id, unnest(string_split(target_groups, '|')) AS g FROM subject)) x WHERE name NOT IN ('', 'none', 'other', 'nan')"""
+
+
+@relation("cues", "tokens", "lexicon", "group_terms")
+def _(q):
+    return """SELECT t.row_id, t.idx, t.tok, t.low, t.s, t.e, CASE WHEN g.term IS NOT NULL THEN 'TARGET_CUE' ELSE x.cue END AS cue
+FROM tokens t LEFT JOIN lexicon x ON t.low = x.term LEFT JOIN group_terms g ON t.row_id = g.row_id AND t.low = g.term WHERE x.cue IS NOT NULL OR g.term IS NOT NULL"""
 
 
 @plan("e6_cue_labels", "cues")
@@ -222,9 +232,9 @@ def score_of(q, hits):
     return f"least({q.d(1.0)}, {q.d(L.BASE_SCORE)} + ({hits}) * {q.d(L.CUE_SCORE)})"
 
 
-@relation("row_hits", "rows")
+@relation("row_hits", "subject")
 def _(q):
-    return f"SELECT row_id, low, {_hits(q, 'low')} AS hits FROM (SELECT row_id, lower(text) AS low FROM rows)"
+    return f"SELECT row_id, low, {_hits(q, 'low')} AS hits FROM (SELECT row_id, lower(text) AS low FROM subject)"
 
 
 @relation("scores", "row_hits")
@@ -239,15 +249,19 @@ def _(q):
 
 @plan("f2_memoized_score", "rows")
 def _(q):
-    return f"""SELECT r.row_id, m.score FROM rows r JOIN (SELECT text, {score_of(q, _hits(q, 'lower(text)'))} AS score FROM (SELECT DISTINCT text FROM rows)) m ON r.text = m.text"""
+    # Distinct texts are known by a digest, so no text is a join key.
+    return f"""SELECT r.row_id, m.score FROM (SELECT row_id, md5(text) AS digest FROM rows) r
+JOIN (SELECT digest, {score_of(q, _hits(q, 'lower(t)'))} AS score FROM (SELECT md5(text) AS digest, min(text) AS t FROM rows GROUP BY md5(text)) d) m ON r.digest = m.digest"""
 
 
 # ---------------------------------------------------------------- importance (G)
 
 
-@relation("eligible", "tokens")
+@relation("eligible", "tokens", "identifiers")
 def _(q):
-    return f"SELECT row_id, idx, tok, s, e FROM tokens WHERE {q.matches('tok', r'[\p{L}\p{N}]')} AND NOT (tok LIKE '[%' AND tok LIKE '%]') AND NOT {q.in_list('low', L.STOPWORDS)}"
+    fit = f"{q.matches('tok', r'[\p{L}\p{N}]')} AND NOT (tok LIKE '[%' AND tok LIKE '%]') AND NOT {q.in_list('low', L.STOPWORDS)}"
+    return f"""SELECT t.row_id, t.idx, t.tok, t.s, t.e FROM (SELECT * FROM tokens WHERE {fit}) t
+LEFT JOIN (SELECT DISTINCT t.row_id, t.idx FROM tokens t JOIN identifiers i ON t.row_id = i.row_id AND t.s < i.e AND i.s < t.e) x ON t.row_id = x.row_id AND t.idx = x.idx WHERE x.idx IS NULL"""
 
 
 @plan("g1_eligible", "eligible")
@@ -303,10 +317,20 @@ def _(q):
     return "SELECT row_id, idx, tok, delta FROM anchors"
 
 
-@plan("g4_cue_fallback", "cues")
+@relation("cue_fallback", "cues", "anchors")
+def _(q):
+    return f"""SELECT row_id, idx, tok, s, e FROM (SELECT c.row_id, c.idx, c.tok, c.s, c.e, row_number() OVER (PARTITION BY c.row_id ORDER BY CASE cue WHEN 'HARM_CUE' THEN 0 ELSE 1 END, c.idx) AS pick
+FROM cues c LEFT JOIN (SELECT DISTINCT row_id FROM anchors) a ON c.row_id = a.row_id WHERE cue IN ('HARM_CUE', 'TARGET_CUE') AND a.row_id IS NULL) x WHERE pick <= {TOP_K}"""
+
+
+@plan("g4_cue_fallback", "cue_fallback")
+def _(q):
+    return "SELECT row_id, idx FROM cue_fallback"
+
+
+@relation("chosen", "anchors", "cue_fallback")
 def _(q):
-    return f"""SELECT row_id, idx FROM (SELECT row_id, idx, row_number() OVER (PARTITION BY row_id ORDER BY CASE cue WHEN 'HARM_CUE' THEN 0 ELSE 1 END, idx) AS pick
-FROM cues WHERE cue IN ('HARM_CUE', 'TARGET_CUE')) x WHERE pick <= {TOP_K}"""
+    return "SELECT row_id, idx, tok, s, e FROM anchors UNION ALL SELECT row_id, idx, tok, s, e FROM cue_fallback"
 
 
 # ---------------------------------------------------------------- span algebra (C)
@@ -342,10 +366,14 @@ def _(q):
     return "SELECT row_id, s, e, label FROM cue_spans WHERE label IN ('HARM_CUE', 'TARGET_CUE')"
 
 
-@plan("c5_token_overlaps", "tokens", "only_kept")
+@relation("kept_tokens", "tokens", "only_kept")
 def _(q):
-    semi = "LEFT SEMI JOIN" if q.name == "spark" else "SEMI JOIN"
-    return f"SELECT t.row_id, t.idx FROM tokens t {semi} only_kept k ON t.row_id = k.row_id AND t.s < k.e AND k.s < t.e"
+    return "SELECT DISTINCT t.row_id, t.idx FROM tokens t JOIN only_kept k ON t.row_id = k.row_id AND t.s < k.e AND k.s < t.e"
+
+
+@plan("c5_token_overlaps", "kept_tokens")
+def _(q):
+    return "SELECT row_id, idx FROM kept_tokens"
 
 
 @plan("c6_token_spans", "anchors")
@@ -363,9 +391,9 @@ def _(q):
     return framed(RADIUS)
 
 
-@relation("anchor_windows", "frames", "anchors")
+@relation("anchor_windows", "frames", "chosen")
 def _(q):
-    return "SELECT f.row_id, f.idx, f.s, f.e FROM frames f JOIN anchors a ON f.row_id = a.row_id AND f.idx = a.idx"
+    return "SELECT f.row_id, f.idx, f.s, f.e FROM frames f JOIN chosen a ON f.row_id = a.row_id AND f.idx = a.idx"
 
 
 @plan("c7_token_windows", "anchor_windows")
@@ -378,28 +406,29 @@ def _(q):
     return "SELECT row_id, idx, s, e, 'EVIDENCE_WINDOW' AS label FROM anchor_windows"
 
 
-@plan("c9_span_text", "cue_spans", "rows")
+@plan("c9_span_text", "identifiers", "subject")
 def _(q):
-    return "SELECT c.row_id, c.s, substring(r.text, c.s + 1, c.e - c.s) AS span_text, concat('[', c.label, ']') AS replacement FROM cue_spans c JOIN rows r ON c.row_id = r.row_id"
+    known = q.in_list("c.label", [*L.DIRECT, *L.QUASI])
+    return f"SELECT c.row_id, c.s, substring(r.text, c.s + 1, c.e - c.s) AS span_text, CASE WHEN {known} THEN concat('[', c.label, ']') ELSE '[IDENTIFIER]' END AS replacement FROM identifiers c JOIN subject r ON c.row_id = r.row_id"
 
 
-@plan("c10_full_span", "rows")
+@plan("c10_full_span", "subject")
 def _(q):
-    return "SELECT row_id, 0 AS s, length(text) AS e FROM rows WHERE length(text) > 0"
+    return "SELECT row_id, 0 AS s, length(text) AS e FROM subject WHERE length(text) > 0"
 
 
 # ---------------------------------------------------------------- context expansion and variants (H)
 
 
-@relation("anchor_or_harm", "cues", "anchors")
+@relation("anchor_or_harm", "cues", "chosen")
 def _(q):
-    return "SELECT row_id, idx, s, e FROM anchors UNION SELECT row_id, idx, s, e FROM cues WHERE cue = 'HARM_CUE'"
+    return "SELECT row_id, idx, s, e FROM chosen UNION SELECT row_id, idx, s, e FROM cues WHERE cue = 'HARM_CUE'"
 
 
-@relation("h1", "anchor_windows", "anchors", "cues")
+@relation("h1", "anchor_windows", "chosen", "cues")
 def _(q):
     return """SELECT row_id, s, e FROM anchor_windows UNION
-SELECT a.row_id, a.s, a.e FROM anchors a JOIN cues c ON a.row_id = c.row_id AND a.idx = c.idx AND c.cue IN ('TARGET_CUE', 'HARM_CUE')"""
+SELECT a.row_id, a.s, a.e FROM chosen a JOIN cues c ON a.row_id = c.row_id AND a.idx = c.idx AND c.cue IN ('TARGET_CUE', 'HARM_CUE')"""
 
 
 @plan("h1_anchor_windows", "h1")
@@ -421,7 +450,7 @@ def _(q):
 def _(q):
     return f"""SELECT row_id, s, e FROM (SELECT t.row_id, least(t.s, x.s) AS s, greatest(t.e, x.e) AS e,
 row_number() OVER (PARTITION BY t.row_id, t.idx ORDER BY abs(t.idx - x.idx), x.idx) AS pick
-FROM cues t JOIN anchor_or_harm x ON t.row_id = x.row_id AND abs(t.idx - x.idx) <= {GAP} AND t.idx <> x.idx
+FROM cues t JOIN anchor_or_harm x ON t.row_id = x.row_id AND abs(t.idx - x.idx) <= {GAP}
 WHERE t.cue IN ('NEGATION_CUE', 'QUOTE_CUE', 'COUNTERSPEECH_CUE')) n WHERE pick = 1"""
 
 
@@ -456,9 +485,9 @@ def _(q):
     return "SELECT row_id, s, e FROM context_kept"
 
 
-@relation("only_kept", "anchors")
+@relation("only_kept", "chosen")
 def _(q):
-    return merged("anchors", 0)
+    return merged("chosen", 0)
 
 
 @relation("window_kept", "anchor_windows")
@@ -466,9 +495,10 @@ def _(q):
     return merged("anchor_windows", 1)
 
 
-@relation("kept", "rows", "only_kept", "window_kept", "context_kept")
+@relation("kept", "subject", "only_kept", "window_kept", "context_kept")
 def _(q):
-    return """SELECT row_id, 'raw' AS variant, 0 AS s, length(text) AS e FROM rows WHERE length(text) > 0
+    whole = " UNION ALL ".join(f"SELECT row_id, '{v}' AS variant, 0 AS s, length(text) AS e FROM subject WHERE length(text) > 0" for v in WHOLE_TEXT)
+    return f"""{whole}
 UNION ALL SELECT row_id, 'importance_only' AS variant, s, e FROM only_kept
 UNION ALL SELECT row_id, 'importance_window' AS variant, s, e FROM window_kept
 UNION ALL SELECT row_id, 'context' AS variant, s, e FROM context_kept"""
@@ -476,34 +506,61 @@ UNION ALL SELECT row_id, 'context' AS variant, s, e FROM context_kept"""
 
 @relation("variants")
 def _(q):
-    return q.values([(f"'{v}'",) for v in ("raw", "importance_only", "importance_window", "context")], "variant")
+    return q.values([(f"'{v}'",) for v in VARIANTS], "variant")
+
+
+@relation("mask_cuts", "kept", "identifiers")
+def _(q):
+    # Masks clipped to the kept spans they touch, and where the text before each begins.
+    return f"""SELECT row_id, variant, ks, ms, me, label, coalesce(lag(me) OVER (PARTITION BY row_id, variant, ks ORDER BY ms), ks) AS since FROM (
+SELECT k.row_id, k.variant, k.s AS ks, greatest(i.s, k.s) AS ms, least(i.e, k.e) AS me, i.label FROM kept k JOIN identifiers i ON k.row_id = i.row_id AND i.s < k.e AND k.s < i.e
+WHERE k.variant <> 'raw' AND (k.variant <> 'pii_mask' OR {q.in_list('i.label', L.DIRECT)})) m"""
+
+
+@relation("pieces", "kept", "mask_cuts", "subject")
+def _(q):
+    return """SELECT k.row_id, k.variant, k.s, trim(concat(coalesce(o.head, ''), substring(r.text, coalesce(o.upto, k.s) + 1, k.e - coalesce(o.upto, k.s)))) AS piece FROM kept k JOIN subject r ON k.row_id = r.row_id
+LEFT JOIN (SELECT c.row_id, c.variant, c.ks, string_agg(concat(substring(r.text, c.since + 1, c.ms - c.since), '[', c.label, ']'), '' ORDER BY c.ms) AS head, max(c.me) AS upto
+FROM mask_cuts c JOIN subject r ON c.row_id = r.row_id GROUP BY c.row_id, c.variant, c.ks) o ON k.row_id = o.row_id AND k.variant = o.variant AND k.s = o.ks WHERE k.variant <> 'raw'"""
 
 
-@relation("releases", "rows", "kept", "variants")
+@relation("releases", "subject", "pieces", "variants")
 def _(q):
     joined = q.join_text(q.collect("piece", "s"), " ... ")
     return f"""SELECT r.row_id, v.variant, r.binary_label, r.split, r.functionality, r.text AS source_text,
-CASE WHEN v.variant = 'raw' THEN r.text WHEN p.released IS NULL THEN '[NO_TASK_EVIDENCE_RETAINED]' ELSE {cleaned(q, 'p.released')} END AS released_text
-FROM rows r CROSS JOIN variants v LEFT JOIN (SELECT row_id, variant, {joined} AS released FROM (
-SELECT k.row_id, k.variant, k.s, trim(substring(r.text, k.s + 1, k.e - k.s)) AS piece FROM kept k JOIN rows r ON k.row_id = r.row_id WHERE k.variant <> 'raw') x
-GROUP BY row_id, variant) p ON r.row_id = p.row_id AND v.variant = p.variant"""
+CASE WHEN v.variant = 'raw' THEN r.text WHEN p.released IS NULL AND v.variant IN ('pii_mask', 'pii_quasi_mask') THEN '' WHEN p.released IS NULL THEN '[NO_TASK_EVIDENCE_RETAINED]' ELSE {cleaned(q, 'p.released')} END AS released_text
+FROM subject r CROSS JOIN variants v LEFT JOIN (SELECT row_id, variant, {joined} AS released FROM pieces GROUP BY row_id, variant) p ON r.row_id = p.row_id AND v.variant = p.variant"""
 
 
-for _key, _variant in (("h6_raw", "raw"), ("h8_importance_only", "importance_only"), ("h9_importance_window", "importance_window"), ("h10_context", "context")):
+for _key, _variant in (("h6_raw", "raw"), ("h7_pii_mask", "pii_mask"), ("h7_quasi_mask", "pii_quasi_mask"), ("h8_importance_only", "importance_only"), ("h9_importance_window", "importance_window"), ("h10_context", "context")):
 
-    @plan(_key, "releases")
+    @relation(f"release_{_variant}", "releases")
     def _(q, variant=_variant):
         return f"SELECT row_id, released_text FROM releases WHERE variant = '{variant}'"
 
+    @plan(_key, f"release_{_variant}")
+    def _(q, variant=_variant):
+        return f"SELECT row_id, released_text FROM release_{variant}"
+
 
 @plan("h11_all_variants", "releases")
 def _(q):
     return "SELECT row_id, variant, released_text FROM releases"
 
 
-@plan("i1_render", "releases", "kept")
+@relation("rendered", "releases", "kept")
+def _(q):
+    return "SELECT r.row_id, r.variant, length(r.released_text) AS n_chars, coalesce(k.n_spans, 0) AS n_spans FROM releases r LEFT JOIN (SELECT row_id, variant, count(*) AS n_spans FROM kept GROUP BY row_id, variant) k ON r.row_id = k.row_id AND r.variant = k.variant"
+
+
+@plan("i1_render", "rendered")
 def _(q):
-    return "SELECT r.row_id, r.variant, length(r.released_text) AS n_chars, k.n_spans FROM releases r JOIN (SELECT row_id, variant, count(*) AS n_spans FROM kept GROUP BY row_id, variant) k ON r.row_id = k.row_id AND r.variant = k.variant"
+    return "SELECT row_id, variant, CAST(n_chars AS INT) AS n_chars, CAST(n_spans AS INT) AS n_spans FROM rendered"
+
+
+@plan("i2_render_masked", "release_pii_mask")
+def _(q):
+    return "SELECT row_id, released_text, CAST(length(released_text) AS INT) AS n_chars FROM release_pii_mask"
 
 
 # ---------------------------------------------------------------- metrics (J)
@@ -518,7 +575,7 @@ def _(q):
 @relation("facts", "releases", "retained", "scores", "kept")
 def _(q):
     hits = _hits(q, "lower(r.released_text)")
-    return f"""SELECT r.row_id, r.variant, r.binary_label, r.split, r.functionality, r.source_text, r.released_text,
+    return f"""SELECT r.row_id, r.variant, r.binary_label, r.split, r.functionality, r.released_text <> r.source_text AS changed, r.released_text = '[NO_TASK_EVIDENCE_RETAINED]' AS placeholder,
 length(r.source_text) AS n_chars, coalesce(c.kept_chars, 0) AS kept_chars, coalesce(t.n_tokens, 0) AS n_tokens, coalesce(t.kept_tokens, 0) AS kept_tokens,
 CAST({q.size(q.findall('r.released_text', L.TOKEN))} AS INT) AS out_tokens,
 CASE WHEN s.score >= {q.d(0.5)} THEN 1 ELSE 0 END AS raw_pred, CASE WHEN {score_of(q, hits)} >= {q.d(0.5)} THEN 1 ELSE 0 END AS pred
@@ -561,14 +618,32 @@ def _(q):
 
 @plan("j6_changed_rows", "facts")
 def _(q):
-    return "SELECT variant, count_if(released_text <> source_text) AS changed, count_if(released_text = '[NO_TASK_EVIDENCE_RETAINED]') AS placeholder_only FROM facts GROUP BY variant"
+    return "SELECT variant, count_if(changed) AS changed, count_if(placeholder) AS placeholder_only FROM facts GROUP BY variant"
+
+
+@relation("gram_rows", "releases")
+def _(q):
+    after = lambda n: " || ' ' || ".join(["w", *(f"lead(w, {k}) OVER p" for k in range(1, n))])
+    return f"""SELECT row_id, variant, {after(3)} AS g3, {after(5)} AS g5 FROM (SELECT row_id, variant, i, lower(tok) AS w FROM (
+SELECT row_id, variant, i, toks[i + 1] AS tok FROM (SELECT *, unnest(range(len(toks))) AS i FROM (SELECT row_id, variant, {q.findall('released_text', L.TOKEN)} AS toks FROM releases) a) b) c
+WHERE {q.matches('tok', r'[\p{L}\p{N}]')}) d WINDOW p AS (PARTITION BY row_id, variant ORDER BY i)"""
 
 
-@plan("j7_ngram_retention", "releases", "gram_lists")
+@relation("gram_counts", "gram_rows", "releases")
 def _(q):
-    g = "g.g3"
-    return f"""SELECT r.row_id, r.variant, CAST({q.size(g)} AS INT) AS n_source, CAST({q.common(g, 'r.g3')} AS INT) AS n_common
-FROM (SELECT row_id, variant, {q.grams('w', 3)} AS g3 FROM (SELECT row_id, variant, {q.findall('lower(released_text)', r'[\p{L}\p{N}]+')} AS w FROM releases WHERE variant <> 'raw')) r JOIN gram_lists g ON r.row_id = g.row_id"""
+    def counted(n):
+        distinct = f"SELECT DISTINCT row_id, variant, g{n} AS g FROM gram_rows WHERE g{n} IS NOT NULL"
+        return f"""(SELECT r.row_id, r.variant, coalesce(s.n, 0) AS source, coalesce(c.n, 0) AS common FROM releases r LEFT JOIN (SELECT row_id, count(*) AS n FROM ({distinct}) x WHERE variant = 'raw' GROUP BY row_id) s ON r.row_id = s.row_id
+LEFT JOIN (SELECT y.row_id, y.variant, count(*) AS n FROM ({distinct}) y JOIN ({distinct}) x ON x.variant = 'raw' AND x.row_id = y.row_id AND x.g = y.g GROUP BY y.row_id, y.variant) c ON r.row_id = c.row_id AND r.variant = c.variant)"""
+
+    return f"""SELECT a.row_id, a.variant, a.source AS n3_source, a.common AS n3_common, b.source AS n5_source, b.common AS n5_common
+FROM {counted(3)} a JOIN {counted(5)} b ON a.row_id = b.row_id AND a.variant = b.variant"""
+
+
+@plan("j7_ngram_retention", "gram_counts")
+def _(q):
+    ppm = lambda n: f"CAST(sum(CASE WHEN n{n}_source > 0 THEN CAST(floor(n{n}_common * {q.d(1e6)} / n{n}_source) AS BIGINT) ELSE 0 END) AS BIGINT)"
+    return f"SELECT variant, count(*) AS n, CAST(sum(n3_source) AS BIGINT) AS n3_source, CAST(sum(n3_common) AS BIGINT) AS n3_common, CAST(sum(n5_source) AS BIGINT) AS n5_source, CAST(sum(n5_common) AS BIGINT) AS n5_common, {ppm(3)} AS ppm3_sum, {ppm(5)} AS ppm5_sum FROM gram_counts GROUP BY variant"
 
 
 @relation("cue_preserved", "releases", "cues")
@@ -591,11 +666,16 @@ SELECT row_id, variant, bool_or(CASE WHEN cue = 'TARGET_CUE' THEN preserved END)
 bool_or(CASE WHEN {stance} THEN preserved END) AS stance FROM cue_preserved GROUP BY row_id, variant) p GROUP BY variant"""
 
 
-@plan("j12_rationale_overlap", "cues", "kept")
+@relation("rationale", "cues", "kept", "variants")
+def _(q):
+    # The cue tokens stand for the marked tokens of an annotator.
+    return """SELECT t.row_id, t.idx, v.variant, bool_or(k.s IS NOT NULL) AS hit FROM (SELECT DISTINCT row_id, idx, s, e FROM cues) t CROSS JOIN variants v
+LEFT JOIN kept k ON t.row_id = k.row_id AND v.variant = k.variant AND t.s < k.e AND k.s < t.e GROUP BY t.row_id, t.idx, v.variant"""
+
+
+@plan("j12_rationale_overlap", "rationale")
 def _(q):
-    return """SELECT m.variant, count(*) AS n_mask, count_if(m.hit) AS n_overlapped FROM (
-SELECT t.row_id, t.idx, v.variant, bool_or(k.s IS NOT NULL) AS hit FROM (SELECT DISTINCT row_id, idx, s, e FROM cues) t CROSS JOIN (SELECT DISTINCT variant FROM kept) v
-LEFT JOIN kept k ON t.row_id = k.row_id AND v.variant = k.variant AND t.s < k.e AND k.s < t.e GROUP BY t.row_id, t.idx, v.variant) m GROUP BY m.variant"""
+    return "SELECT variant, count(*) AS n_mask, count_if(hit) AS n_overlapped FROM rationale GROUP BY variant"
 
 
 @plan("j13_grouped_metrics", "facts")

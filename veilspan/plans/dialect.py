@@ -1,8 +1,11 @@
-"""One logical plan, two SQL dialects.
+"""Relations by name, for Spark and for the oracle.
 
 Every relation of the release pipeline is a named common table expression. A query is a
-SELECT over such names; the needed expressions are put before it in order. The Spark text
-runs through Catalyst; the DuckDB text is the same plan's oracle.
+SELECT over such names; the needed expressions are put before it in order. The DuckDB text is
+the oracle. On Spark the relations that follow from a row alone (LOCAL) come from one walk of
+`operators.release` over the subject rows, without any shuffle; the oracle derives the same
+relations with joins and windows, so the two share no code. The other relations are the same
+SQL on both engines.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veilspan.operators import release
 from veilspan.session import materialize, table
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -192,23 +196,22 @@ def relation(name: str, *needs: str):
     return add
 
 
-def _ordered(names: tuple[str, ...], found: list[str]) -> list[str]:
+def _ordered(names: tuple[str, ...], found: list[str], local: bool = False) -> list[str]:
     for name in names:
         if name not in found:
-            _ordered(_RELATIONS[name][0], found)
+            if not (local and name in LOCAL):
+                _ordered(_RELATIONS[name][0], found, local)
             found.append(name)
     return found
 
 
 def render(select: Callable[[Dialect], str], needs: tuple[str, ...], dialect: Dialect) -> str:
-    parts = [f"{n} AS (\n{_RELATIONS[n][1](dialect)}\n)" for n in _ordered(needs, [])]
+    parts = [f"{n} AS MATERIALIZED (\n{_RELATIONS[n][1](dialect)}\n)" for n in _ordered(needs, [])]
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + select(dialect)
 
 
-#: Relations worth writing once where a query reads them more than once; Spark would
-#: otherwise evaluate an expression again at every place that names it.
-SHARED = {"tokens", "cues", "anchors", "anchor_windows", "kept", "releases", "facts", "judged", "paired", "injected", "tok_lists"}
-
+#: Relations that Spark gets from the row-local operator.
+LOCAL = set(release.RELATIONS)
 
 def _views(spark: SparkSession, sf_dir: str, sql: str) -> str:
     mark = hashlib.md5(sf_dir.encode()).hexdigest()[:8]
@@ -220,39 +223,28 @@ def _views(spark: SparkSession, sf_dir: str, sql: str) -> str:
     return sql
 
 
-def run(spark: SparkSession, sf_dir: str, select: Callable[[Dialect], str], needs: tuple[str, ...] = ()) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, select: Callable[[Dialect], str], needs: tuple[str, ...] = (), settings: release.Settings | None = None) -> DataFrame:
     """Spark SQL over the Parquet tables of `sf_dir`, written @name@ in the text.
 
-    SHARED relations that are read more than once are written to shared storage first, in
-    order, so each is evaluated once and a lost executor costs no more than a re-read.
+    LOCAL relations are derived from the subject rows, one walk each; one that is read more than
+    once is written to shared storage first, so a lost executor costs no more than a re-read.
     """
-    order = _ordered(needs, [])
-    bodies = {n: _RELATIONS[n][1](SPARK) for n in order}
+    order = _ordered(needs, [], True)
+    bodies = {n: _RELATIONS[n][1](SPARK) for n in order if n not in LOCAL}
     final = select(SPARK)
     uses = {n: sum(len(re.findall(rf"\b(?:FROM|JOIN)\s+{n}\b", text)) for text in [*bodies.values(), final]) for n in order}
-    written: dict[str, str] = {}
-
-    def text(last: str, wanted: tuple[str, ...]) -> str:
-        found: list[str] = []
-
-        def visit(names):
-            for n in names:
-                if n not in found:
-                    if n not in written:
-                        visit(_RELATIONS[n][0])
-                    found.append(n)
-
-        visit(wanted)
-        parts = [f"{n} AS (\n{written.get(n, bodies[n])}\n)" for n in found]
-        return _views(spark, sf_dir, ("WITH " + ",\n".join(parts) + "\n" if parts else "") + last)
-
+    subject = None
     for n in order:
-        if n in SHARED and uses[n] > 1:
-            df = materialize(spark.sql(text(bodies[n], _RELATIONS[n][0])), n.replace("_", "-"))
+        if n in LOCAL:
+            if subject is None:
+                subject = run(spark, sf_dir, lambda q: "SELECT * FROM subject", ("subject",))
+            df = release.derive(subject, n, settings)
+            df = materialize(df, n.replace("_", "-")) if uses[n] > 1 else df
             view = f"vs_{uuid.uuid4().hex}"
             df.createOrReplaceTempView(view)
-            written[n] = f"SELECT * FROM {view}"
-    return spark.sql(text(final, needs))
+            bodies[n] = f"SELECT * FROM {view}"
+    parts = [f"{n} AS (\n{bodies[n]}\n)" for n in order]
+    return spark.sql(_views(spark, sf_dir, ("WITH " + ",\n".join(parts) + "\n" if parts else "") + final))
 
 
 def plan(name: str, *needs: str, oracle: bool = True):

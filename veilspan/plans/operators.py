@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.functions.lexicon import CLASSIFIER_CUES, DIRECT
+from veilspan.functions.lexicon import CLASSIFIER_CUES
 from veilspan.operators import classifiers, identify, learned
 from veilspan.plans import dialect
-from veilspan.plans.core import cleaned
 from veilspan.registry import query
 from veilspan.streaming.scoring import lexicon_score
 
@@ -22,79 +21,21 @@ def injected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify.inject_rows(rows(spark, sf_dir).withColumn("row_index", F.col("row_id")))
 
 
-@query("d3_detect_identifiers")
-def _(spark, sf_dir):
-    found = identify.detect(injected(spark, sf_dir)).select("row_id", F.explode("spans").alias("x"))
-    return found.select("row_id", "x.start", "x.end", "x.label", "x.score")
-
-
 @query("d2_phrase_spans")
 def _(spark, sf_dir):
     texts = dialect.run(spark, sf_dir, lambda q: "SELECT row_id, text FROM injected", ("injected",))
     return identify.phrase_rows(texts).select("row_id", F.explode("found").alias("x")).select("row_id", "x.label", "x.phrase", "x.s")
 
 
-@query("c3_resolve_overlaps")
-def _(spark, sf_dir):
-    found = identify.detect(rows(spark, sf_dir))
-    return found.select("row_id", F.size("spans").alias("n_spans"))
-
-
 @query("d4_inject_seeded")
 def _(spark, sf_dir):
     return injected(spark, sf_dir).select("row_id", "template", "text", F.size("gold").alias("n_gold"))
 
 
-def masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(row_id, released_text, literals): injected texts, direct identifiers masked, injected or detected."""
-    found = identify.mask_gold_rows(injected(spark, sf_dir))
-    return found.withColumn("released_text", F.expr(cleaned(dialect.SPARK, "released_text")))
-
-
-def residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = masked(spark, sf_dir).select("row_id", "released_text", F.explode("literals").alias("x"))
-    return found.select("row_id", "x.label", "x.s", F.contains("released_text", "x.literal").alias("residual"))
-
-
-@query("h7_pii_mask")
-def _(spark, sf_dir):
-    return masked(spark, sf_dir).select("row_id", "released_text")
-
-
-@query("i2_render_masked")
-def _(spark, sf_dir):
-    return masked(spark, sf_dir).select("row_id", F.length("released_text").alias("n_chars"))
-
-
-@query("d7_privacy_risk")
-def _(spark, sf_dir):
-    q = dialect.SPARK
-    scrubbed = q.sub("released_text", r"\[(?:EMAIL|URL|HANDLE|PERSON|PHONE|SCHOOL|WORKPLACE|EVENT)\]", "")
-    return masked(spark, sf_dir).select("row_id", F.expr(q.matches(scrubbed, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}|https?://|www[.]|@[A-Za-z0-9_]{2,}")).alias("at_risk"))
-
-
-@query("d8_residual_literals")
-def _(spark, sf_dir):
-    return residuals(spark, sf_dir)
-
-
-@query("j8_residual_rates")
-def _(spark, sf_dir):
-    kind = F.when(F.col("label").isin(DIRECT), "direct").otherwise("quasi").alias("kind")
-    counted = residuals(spark, sf_dir).groupBy(kind).agg(F.count("*").alias("total"), F.count_if("residual").alias("n_residual"))
-    return counted.withColumn("residual_rate", F.col("n_residual") / F.col("total"))
-
-
-@query("h7_quasi_mask")
-def _(spark, sf_dir):
-    return identify.mask_rows(injected(spark, sf_dir), quasi=True)
-
-
 @query("j9_detector_residuals")
 def _(spark, sf_dir):
-    masked = identify.mask_rows(injected(spark, sf_dir)).withColumnRenamed("released_text", "text")
-    found = identify.detect(masked).select(F.explode("spans").alias("x"))
-    return found.groupBy(F.col("x.label").alias("label")).agg(F.count("*").alias("n"))
+    """Identifiers that the detectors still find in the released texts, by variant and class."""
+    return dialect.run(spark, sf_dir, lambda q: "SELECT variant, label, sum(n) AS n FROM detected GROUP BY variant, label", ("detected",))
 
 
 @query("f4_tfidf_classifier")
