@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from veilspan.functions import lexicon as L
-from veilspan.operators import identify
+from veilspan.operators import identify, release
 from veilspan.sources import readers, writers
 from veilspan.streaming.scoring import score_stream
 
@@ -108,62 +108,150 @@ def test_stream_equals_batch(spark, tmp_path):
     assert max(r.score or 0 for r in got) > 0.6
 
 
+def test_heads():
+    from veilspan.operators import classifiers as C
+
+    names = {0: "toxicity", 1: "severe_toxicity", 2: "obscene", 3: "identity_attack", 4: "insult"}
+    assert C.head(names) == (0, True)
+    assert C.head({"0": "NON_HATE", "1": "HATE"}) == (1, False) and C.head({"1": "clean", "0": "hateful"}) == (0, False)
+    assert C.head(None) == (1, False) and C.head({0: "a", 1: "b"}) == (1, False) and C.head({"x": "hate", 2: "a", 5: "b"}) == (5, False)
+    assert C.head({0: "a", 1: "b"}, "multi_label_classification").independent
+    assert C.Head(1, False).scores([[0.0, 0.0], [0.0, 100.0]]).round(6).tolist() == [0.5, 1.0] and C.Head(0, True).scores([[0.0, 9.0]]).tolist() == [0.5]
+
+
 def test_scorers(spark):
     from veilspan.operators import classifiers as C
 
-    class Counting:
-        def __init__(self):
-            self.calls = []
+    assert C.choose("lexicon").name == "lexicon" and C.choose("big", kinds={"big": C.Kind(("no_such_module",), dict)}).why == "big needs no_such_module"
+    try:
+        C.choose("unknown")
+        raise AssertionError
+    except ValueError:
+        pass
+    df = spark.createDataFrame([(1, "they should leave"), (2, "hello"), (3, "hello"), (4, None)], "row_id long, text string")
+    want = {1: 0.61, 2: 0.05, 3: 0.05, 4: 0.05}
+    assert {r.row_id: round(r.score, 2) for r in C.score_with(df).collect()} == want
+
+    def counting():
+        class Once:
+            seen = set()
 
-        def predict_proba(self, texts):
-            self.calls.append(tuple(texts))
-            return [0.9 if "hate" in t else 0.1 for t in texts]
+            def predict_proba(self, texts):
+                assert not self.seen.intersection(texts), "a text is scored once"
+                self.seen.update(texts)
+                return [len(t) / 100 for t in texts]
 
-    behind = Counting()
-    scorer = C.RememberingScorer(behind)
-    assert scorer.predict_proba(["hate x", "clean", "hate x"]) == [0.9, 0.1, 0.9]
-    assert scorer.predict_proba(["clean", "new hate"]) == [0.1, 0.9]
-    assert behind.calls == [("hate x", "clean"), ("new hate",)]
-    names = {0: "toxicity", 1: "severe_toxicity", 2: "obscene", 3: "identity_attack", 4: "insult"}
-    assert C.positive_class(names) == 0 and C.activation(names) == "sigmoid"
-    assert C.positive_class({"0": "NON_HATE", "1": "HATE"}) == 1 and C.positive_class(None) == 1 and C.activation({0: "a", 1: "b"}) == "softmax"
+        return Once()
 
-    def broken():
-        raise ImportError
+    built = C.choose("own", kinds={"own": C.Kind((), counting)})
+    assert {r.row_id: r.score for r in C.score_with(df, built.make).collect()} == {1: 0.17, 2: 0.05, 3: 0.05, 4: 0.0}
 
-    assert C.build_scorer("big", {"big": broken})[1] == "lexicon"
-    df = spark.createDataFrame([(1, "they should leave"), (2, "hello"), (3, "hello"), (4, None)], "row_id long, text string")
-    got = {r.row_id: round(r.score, 2) for r in C.score_with(df, C.LexiconScorer).collect()}
-    assert got == {1: 0.61, 2: 0.05, 3: 0.05, 4: 0.05}
+
+# ------------------------------------------------------------------ releases
+
+
+NAMED = "Mira Stone from Riverton High wrote: they do not hate the jewish people, mail mira.example@test.invalid now"
+
+
+def released(spark, rows, settings, name="releases", columns="row_id long, text string, target_groups string"):
+    return release.derive(spark.createDataFrame(rows, columns), name, settings).collect()
 
 
-def test_direct_masks_cover_detected_identifiers(spark):
+def test_releases_mask_identifiers(spark):
+    rows = released(spark, [(1, NAMED, ""), (2, None, ""), (3, "", "")], release.Settings(lexicon=L.conformance(), radius=10))
+    got = {(r.row_id, r.variant): r.released_text for r in rows}
+    assert len(got) == 18 and got[1, "raw"] == NAMED
+    assert got[1, "pii_mask"] == "[PERSON] from Riverton High wrote: they do not hate the jewish people, mail [EMAIL] now"
+    assert got[1, "pii_quasi_mask"].startswith("[PERSON] from [SCHOOL] [SOURCE_MARKER]: they")
+    for v in ("importance_only", "importance_window", "context"):
+        assert not any(x in got[1, v] for x in ("Mira", "Riverton", "test.invalid")) and "hate" in got[1, v]
+        assert got[2, v] == got[3, v] == release.NOTHING
+    assert got[2, "pii_mask"] == got[3, "raw"] == ""
+    assert "[EMAIL]" in got[1, "importance_window"]  # inside the window, replaced
+
+
+def test_anchors_and_windows(spark):
+    text = "we should ban vermin but not hate anyone here"
+    one = release.Settings(lexicon=L.conformance(), top_k=1, share=1.0)
+    anchors = released(spark, [(1, text, "")], one, "anchors")
+    assert [(a.idx, a.tok) for a in anchors] == [(2, "ban")] and abs(anchors[0].delta - 0.28) < 1e-9
+    narrow, wide = (released(spark, [(1, text, "")], release.Settings(lexicon=L.conformance(), top_k=1, share=1.0, radius=r), "release_importance_window")[0].released_text for r in (1, 3))
+    assert narrow == "should ban vermin" and wide == "we should ban vermin but not"
+    context = released(spark, [(1, text, "")], one, "release_context")[0].released_text
+    assert "not hate" in context
+    # A scorer of one's own in place of the lexicon.
+    mine = release.Settings(lexicon=L.conformance(), top_k=1, share=1.0, scorer=lambda texts: [0.9 if "anyone" in t else 0.1 for t in texts])
+    assert [a.tok for a in released(spark, [(1, text, "")], mine, "anchors")] == ["anyone"]
+    # No token may be an anchor: cue tokens stand in, harm first.
+    quiet = release.Settings(lexicon=L.Lexicon(["to"], ["of"], [], [], [], ["zzz"]))
+    assert [(r.idx, r.tok) for r in released(spark, [(1, "to of the", "")], quiet, "cue_fallback")] == [(1, "of"), (0, "to")]
+
+
+def test_groups_of_the_row(spark):
+    rows = [(1, "green folk and people", "green-folk|none"), (2, "green folk and people", "")]
+    cues = {(r.row_id, r.tok): r.cue for r in released(spark, rows, release.Settings(lexicon=L.conformance()), "cues")}
+    assert cues == {(1, "green"): "TARGET_CUE", (1, "folk"): "TARGET_CUE"} | {(i, "people"): c for i in (1, 2) if (c := cues.get((i, "people")))}
+    assert release.group_terms("a_bc/def|NaN|Women") == {"a bc def", "def", "women"}
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text("ab !'ß", max_size=30), max_size=6), st.integers(0, 3))
+def test_blocks_equal_rows_alone(texts, radius):
+    """What a row yields does not depend on its neighbours in the block."""
+    lex = L.Lexicon(["a"], ["b"], ["ab"], ["!"], ["bb"], ["aa", "b"])
+    chosen = release.Settings(lexicon=lex, radius=radius, gap=2, merge_gap=3)
+    for name, (_, make) in release.RELATIONS.items():
+        rows = {"text": texts, "binary_label": [1] * len(texts)}
+        together = sorted(zip(*[list(map(str, x)) for x in make(release.Block(rows, chosen))]))
+        alone = []
+        for i, t in enumerate(texts):
+            alone += [(str(i), *r[1:]) for r in zip(*[list(map(str, x)) for x in make(release.Block({"text": [t], "binary_label": [1]}, chosen))])]
+        assert together == sorted(alone), name
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(1, 6)), max_size=12), st.integers(0, 5))
+def test_merged_and_touched(raw, gap):
+    import numpy as np
+
+    s, e = np.array([a for a, _ in raw], int), np.array([a + n for a, n in raw], int)
+    ms, me = release.merged(s, e, gap)
+    inside = lambda x: any(a <= x < b for a, b in zip(ms, me))
+    assert all(inside(x) for a, b in zip(s, e) for x in range(a, b)) and all(b + gap < c for b, c in zip(me, ms[1:]))
+    for a, n in ((3, 2), (10, 5), (0, 50)):
+        assert release.touched(np.array([a]), np.array([a + n]), *release.merged(s, e, 0))[0] == any(x < a + n and a < y for x, y in zip(s, e))
+
+
+def test_releases_do_not_shuffle(spark):
     import __spark_entry__ as entry
-    from veilspan.plans import operators
+
+    for name, most in (("b1_tokenize", 0), ("g3_anchors", 0), ("h10_context", 0), ("j3_flip_rate", 1)):
+        plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") <= most + 2 * plan.count("SortMergeJoin"), name
+
+
+def test_masks_cover_detected_identifiers(spark):
+    import __spark_entry__ as entry
+    from veilspan.plans import dialect
 
     sf = "/root/testdata/sf0.001"
-    texts = {r.row_id: (r.text, [s.asDict() for s in r.gold]) for r in operators.injected(spark, sf).collect()}
+    subject = {r.row_id: r for r in dialect.run(spark, sf, lambda q: "SELECT * FROM subject", ("subject",)).collect()}
     got = {r.row_id: r.released_text for r in entry.queries()["h7_pii_mask"](spark, sf).collect()}
-    assert got.keys() == texts.keys()
+    assert got.keys() == subject.keys()
     own = {v for vs in (L.EMAILS, L.HANDLES, L.PHONES, L.PEOPLE) for v in vs}
-    seen, residual = 0, {}
-    for i, (text, gold) in texts.items():
-        spans = identify.resolve([*gold, *identify.candidates(text)])
-        masked = identify.mask(text, spans, set(L.DIRECT))
-        assert re.sub(r"\W", "", got[i]) == re.sub(r"\W", "", masked)
-        for s in spans:
-            literal = text[s["start"] : s["end"]]
+    seen = 0
+    for i, row in subject.items():
+        for s in identify.resolve(identify.candidates(row.text)):
+            literal = row.text[s["start"] : s["end"]]
             seen += s["label"] in ("EMAIL", "IP") and literal not in own
             assert s["label"] not in ("EMAIL", "IP", "URL") or literal not in got[i]
-        residual |= {(i, s["label"], s["start"]): text[s["start"] : s["end"]] in got[i] for s in gold}
+        for g in row.gold:
+            assert g.label not in ("PERSON", "EMAIL") or row.text[g.start : g.end] not in got[i]
     assert seen
-    assert {(r.row_id, r.label, r.s): r.residual for r in entry.queries()["d8_residual_literals"](spark, sf).collect()} == residual
-    rates = {r.kind: (r.total, r.n_residual) for r in entry.queries()["j8_residual_rates"](spark, sf).collect()}
-    for kind in ("direct", "quasi"):
-        mine = [v for (_, label, _), v in residual.items() if (label in L.DIRECT) == (kind == "direct")]
-        assert rates[kind] == (len(mine), sum(mine))
-    assert {r.row_id: r.n_chars for r in entry.queries()["i2_render_masked"](spark, sf).collect()} == {i: len(t) for i, t in got.items()}
-    assert entry.queries()["d7_privacy_risk"](spark, sf).count() == len(got)
+    rates = {(r.variant, r.kind): r.residual_rate for r in entry.queries()["j8_residual_rates"](spark, sf).collect()}
+    assert rates["raw", "direct"] == 1.0 and rates["pii_mask", "direct"] <= 0.05 and rates["pii_quasi_mask", "quasi"] <= 0.05 < rates["pii_mask", "quasi"]
+    found = {(r.variant, r.label): r.n for r in entry.queries()["j9_detector_residuals"](spark, sf).collect()}
+    assert found["raw", "EMAIL"] > 0 and ("pii_mask", "EMAIL") not in found
 
 
 def test_pattern_and_phrase_spans_are_all_hits(spark):

@@ -1,14 +1,22 @@
-"""The pluggable scorer: anything with `predict_proba(texts) -> scores` runs over DataFrames."""
+"""Scores from any classifier: what a model's classes mean, which model to load, scoring a column.
+
+A scorer is anything with `predict_proba(texts) -> scores`. The lexicon's score is a column
+expression and needs no Python; other scorers run in Arrow batches, once for each distinct
+text, which a digest stands for, so texts are neither join nor shuffle keys.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from typing import Protocol
+import importlib
+import re
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
+from typing import NamedTuple, Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.functions.lexicon import BASE_SCORE, CLASSIFIER_CUES, CUE_SCORE
+from veilspan.streaming.scoring import lexicon_score
 
 #: Words in class names that mean harm, and that take it back.
 HARM_NAMES = ("hate", "toxic", "offensive", "abusive", "harm")
@@ -16,69 +24,100 @@ CLEAN_NAMES = ("non", "not", "normal", "clean")
 #: Classes of multi-label toxicity models, whose outputs are independent.
 TOXICITY_CLASSES = frozenset("toxicity severe_toxicity obscene identity_attack insult threat sexual_explicit".split())
 
+_HARM, _CLEAN, _NUMBER = re.compile("|".join(HARM_NAMES)), re.compile("|".join(CLEAN_NAMES)), re.compile(r"\s*-?\d+\s*")
+
 
 class Scorer(Protocol):
     def predict_proba(self, texts: Sequence[str]) -> list[float]: ...
 
 
-class LexiconScorer:
-    def __init__(self, cues: Sequence[str] = tuple(CLASSIFIER_CUES)):
-        self.cues = tuple(c.lower() for c in cues)
+class Head(NamedTuple):
+    """The output to read as the score, and whether outputs are independent (sigmoid) or compete (softmax)."""
+
+    positive: int
+    independent: bool
+
+    def scores(self, logits):
+        """Rows of logits to one score each."""
+        import numpy as np
+
+        z = np.asarray(logits, float)
+        if self.independent:
+            return 1 / (1 + np.exp(-z[:, self.positive]))
+        z = np.exp(z - z.max(1, keepdims=True))
+        return z[:, self.positive] / z.sum(1)
+
+
+def head(id2label: Mapping | None, problem_type: str | None = None) -> Head:
+    """The head that a model's configuration describes; entries whose key is no number don't count."""
+    names = {int(k): str(v).lower() for k, v in (id2label or {}).items() if _NUMBER.fullmatch(str(k))}
+    harmful = [i for i, name in names.items() if _HARM.search(name) and not _CLEAN.search(name)]
+    binary = [max(names)] if len(names) == 2 else [1]
+    return Head(min(harmful, default=binary[0]), problem_type == "multi_label_classification" or len(TOXICITY_CLASSES.intersection(names.values())) > 3)
 
-    def predict_proba(self, texts: Sequence[str]) -> list[float]:
-        return [min(1.0, BASE_SCORE + CUE_SCORE * sum(c in t.lower() for c in self.cues)) for t in texts]
 
+@dataclass(frozen=True)
+class Kind:
+    """A way to get a scorer: the modules it needs, and what makes it from its arguments."""
 
-class RememberingScorer:
-    """Asks the scorer behind it once for each distinct text."""
+    needs: tuple[str, ...]
+    make: Callable[..., Scorer]
 
-    def __init__(self, behind: Scorer):
-        self.behind, self.known = behind, {}
+
+class TransformerScorer:
+    """A sequence classifier from a folder of weights; its libraries are imported when it is made."""
+
+    def __init__(self, folder: str, device: str = "cpu", max_length: int = 512):
+        import torch
+        from transformers import AutoModelForSequenceClassification, AutoTokenizer
+
+        self.torch, self.device, self.max_length = torch, device, max_length
+        self.tokenizer = AutoTokenizer.from_pretrained(folder, local_files_only=True)
+        self.model = AutoModelForSequenceClassification.from_pretrained(folder, local_files_only=True).to(device).eval()
+        self.head = head(self.model.config.id2label, self.model.config.problem_type)
 
     def predict_proba(self, texts: Sequence[str]) -> list[float]:
-        new = [t for t in dict.fromkeys(texts) if t not in self.known]
-        if new:
-            self.known.update(zip(new, self.behind.predict_proba(new)))
-        return [self.known[t] for t in texts]
+        with self.torch.no_grad():
+            batch = self.tokenizer(list(texts), truncation=True, max_length=self.max_length, padding=True, return_tensors="pt").to(self.device)
+            return self.head.scores(self.model(**batch).logits.cpu().numpy()).tolist()
 
 
-def class_names(names: object) -> dict[int, str]:
-    """Class names by number, in order; entries without a number are left out."""
-    out = {}
-    for key, value in names.items() if isinstance(names, dict) else ():
-        if str(key).strip().lstrip("-").isdigit():
-            out[int(key)] = str(value)
-    return dict(sorted(out.items()))
+KINDS = {"transformer": Kind(("torch", "transformers"), TransformerScorer)}
 
 
-def positive_class(names: object) -> int:
-    """Number of the first class named for harm; of two other classes the later one, else 1."""
-    known = class_names(names)
-    harmful = (i for i, n in known.items() if any(w in n.lower() for w in HARM_NAMES) and not any(w in n.lower() for w in CLEAN_NAMES))
-    return next(harmful, max(known) if len(known) == 2 else 1)
+def missing(needs: Iterable[str]) -> list[str]:
+    out = []
+    for module in needs:
+        try:
+            importlib.import_module(module)
+        except ImportError:
+            out.append(module)
+    return out
 
 
-def activation(names: object, problem_type: str | None = None) -> str:
-    several = len(TOXICITY_CLASSES & {n.lower() for n in class_names(names).values()}) >= 4
-    return "sigmoid" if several or problem_type == "multi_label_classification" else "softmax"
+class Built(NamedTuple):
+    """make: gives a scorer on a worker, None for the lexicon's column; name and why: what was built, and for want of what."""
 
+    make: Callable[[], Scorer] | None
+    name: str
+    why: str
 
-def build_scorer(kind: str, loaders: dict[str, Callable[[], Scorer]] | None = None) -> tuple[Scorer, str]:
-    """(scorer, kind that was built): a loader that cannot import what it needs falls back to the lexicon."""
-    if kind == "lexicon":
-        return LexiconScorer(), "lexicon"
-    if kind not in (loaders or {}):
-        raise ValueError(f"unknown classifier: {kind}")
-    try:
-        return loaders[kind](), kind
-    except ImportError:
-        return LexiconScorer(), "lexicon"
 
+def choose(kind: str, *arguments, kinds: Mapping[str, Kind] = KINDS) -> Built:
+    """The scorer of that kind; the lexicon where the modules it needs are not installed."""
+    if kind == "lexicon":
+        return Built(None, "lexicon", "")
+    if kind not in kinds:
+        raise ValueError(f"unknown classifier {kind!r}: one of lexicon, {', '.join(sorted(kinds))}")
+    lacking = missing(kinds[kind].needs)
+    return Built(None, "lexicon", f"{kind} needs {', '.join(lacking)}") if lacking else Built(lambda: kinds[kind].make(*arguments), kind, "")
 
-def score_with(df: DataFrame, make: Callable[[], Scorer], text: str = "text", batch: int = 64) -> DataFrame:
-    """`df` with a score column; every distinct text is scored once, in batches, by one scorer a task."""
-    from collections.abc import Iterator
 
+def score_with(df: DataFrame, make: Callable[[], Scorer] | None = None, text: str = "text", batch: int = 64) -> DataFrame:
+    """`df` with a score column; null texts count as empty. make: as `choose` gives it."""
+    own = F.coalesce(F.col(text), F.lit(""))
+    if make is None:
+        return df.withColumn("score", lexicon_score(own))
     import pandas as pd
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -89,6 +128,6 @@ def score_with(df: DataFrame, make: Callable[[], Scorer], text: str = "text", ba
 
     # Annotations are names here; the iterator kind has to be given as types.
     run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    own = F.coalesce(F.col(text), F.lit(""))
-    scored = df.select(own.alias("_text")).distinct().select("_text", F.pandas_udf(run, "double")("_text").alias("score"))
-    return df.join(scored, own == F.col("_text")).drop("_text")
+    marked = df.withColumn("_digest", F.sha2(own, 256))
+    first = marked.groupBy("_digest").agg(F.min(own).alias("_text"))
+    return marked.join(first.select("_digest", F.pandas_udf(run, "double")("_text").alias("score")), "_digest").drop("_digest")

@@ -65,7 +65,7 @@ def _lexicon_sql(text: str) -> str:
 
 @query("f1_pluggable_scorer", f"SELECT doc_id AS row_id, {_lexicon_sql('text')} AS score FROM documents")
 def _(spark, sf_dir):
-    return classifiers.score_with(rows(spark, sf_dir), classifiers.LexiconScorer).select("row_id", "score")
+    return classifiers.score_with(rows(spark, sf_dir), classifiers.choose("lexicon").make).select("row_id", "score")
 
 
 @query("s1_lexicon_score_frame", f"SELECT conv_id, turn, {_lexicon_sql('text')} AS score FROM conversations")
