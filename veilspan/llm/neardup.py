@@ -12,8 +12,10 @@ by star contraction.
 Texts with equal sets collapse before the search. All pairs of a band's texts are candidates
 up to WHOLE texts. In larger bands each text is first paired with the first one and with its
 neighbours in the order of the next band, so a large group costs rows in proportion to its
-size; then whatever these links leave outside the band's largest component is paired with the
-whole band, so no pair of two components goes unseen.
+size. Texts that these links leave outside their band's largest component are then a query set,
+held against all texts of larger bands through an index of its shingles, QUERY_SHINGLES at
+a time: each text looks its shingles up and counts what it shares with every query, so no pair
+of two components goes unseen and no pairs are written but links, one a text and component.
 
 Defined results: texts without words (null, empty, blank) have the empty set and are copies of
 each other; a text of fewer words than a shingle is one shingle. Every row is judged by its
@@ -27,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.llm.arrowtext import map_texts
+from veilspan.llm.arrowtext import bounded, map_texts
 from veilspan.llm.decontaminate import side, text_key
 from veilspan.llm.graph import components
 from veilspan.llm.simhash import majority, near_links
@@ -36,6 +38,8 @@ from veilspan.session import materialize, release
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
 WHOLE, WINDOW = 32, 8
+#: Shingles of the query set that are broadcast at a time (12 bytes each).
+QUERY_SHINGLES = 1_000_000
 
 _DRAW = np.random.default_rng(17)
 _FACTORS = _DRAW.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -142,31 +146,14 @@ def _first_pairs(key: np.ndarray):
             yield np.arange(m - w), np.arange(w, m)
 
 
-def _rest_pairs(key: np.ndarray):
-    roots, number, count = np.unique(key, return_inverse=True, return_counts=True)
-    for i in np.flatnonzero(number != count.argmax()):
-        j = np.flatnonzero(number != number[i])
-        yield np.full(len(j), i), j
-
-
 def candidate_pairs(shared: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b): all pairs of the smaller bands, a connecting choice of the larger ones'."""
     return _pairs(shared, _first_pairs, threshold)
 
 
-def remaining_pairs(large: DataFrame, roots: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b): pairs of the larger bands that lie in two components."""
-    members = large.select("band", F.explode("x").alias("x")).select("band", F.col("x.code").alias("code"), F.col("x.n").alias("n"))
-    known = members.join(roots.withColumnRenamed("node", "code"), "code", "left")
-    groups = known.groupBy("band").agg(F.collect_list(F.struct(F.coalesce("root", "code").alias("root"), "code", "n")).alias("x"))
-    return _pairs(groups, _rest_pairs, threshold)
-
-
-def verified(pairs: DataFrame, by_code: DataFrame, keyed: DataFrame, text: str, k: int, threshold: float) -> DataFrame:
-    """The pairs whose whole shingle sets are as similar as `threshold`."""
-    # The sets of the candidates alone are made again, from one text each.
-    wanted = pairs.select(F.col("a").alias("code")).unionByName(pairs.select(F.col("b").alias("code"))).distinct()
-    first = materialize(by_code.join(wanted, "code").select(F.col("_least._key").alias("_key")).distinct(), "first")
+def sets_of(codes: DataFrame, by_code: DataFrame, keyed: DataFrame, text: str, k: int) -> DataFrame:
+    """(code, hashes): the shingle set of each code, made again from one text each; written."""
+    first = materialize(by_code.join(codes, "code").select(F.col("_least._key").alias("_key")).distinct(), "first")
 
     def work():
         def step(columns, texts):
@@ -176,15 +163,77 @@ def verified(pairs: DataFrame, by_code: DataFrame, keyed: DataFrame, text: str,
         return step
 
     sets = map_texts(keyed.join(side(first, first.count()), "_key", "left_semi"), [text], text, "code long, hashes array<bigint>", work)
-    sets = materialize(sets.dropDuplicates(["code"]), "sets")
+    out = materialize(sets.dropDuplicates(["code"]), "sets")
+    release(first)
+    return out
+
+
+def verified(pairs: DataFrame, by_code: DataFrame, keyed: DataFrame, text: str, k: int, threshold: float) -> DataFrame:
+    """The pairs whose whole shingle sets are as similar as `threshold`."""
+    wanted = pairs.select(F.col("a").alias("code")).unionByName(pairs.select(F.col("b").alias("code"))).distinct()
+    sets = sets_of(wanted, by_code, keyed, text, k)
     both = pairs.join(sets.select(F.col("code").alias("a"), F.col("hashes").alias("_p")), "a").join(sets.select(F.col("code").alias("b"), F.col("hashes").alias("_q")), "b")
     common = F.size(F.array_intersect("_p", "_q"))
     out = materialize(both.where(common >= threshold * (F.size("_p") + F.size("_q") - common) - 1e-9).select("a", "b"), "verified")
-    release(first)
     release(sets)
     return out
 
 
+class Queries:
+    """An index of the shingles of some texts: which of them are as similar to a given set as `threshold`."""
+
+    def __init__(self, codes: list[int], roots: list[int], sets: list[list[int]], threshold: float):
+        self.code, self.root, self.threshold = np.array(codes, np.int64), np.array(roots, np.int64), threshold
+        self.size = np.array([len(s) for s in sets], np.int64)
+        hashes = np.concatenate([np.array(s, np.int64) for s in sets])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.owner = hashes[order], np.repeat(np.arange(len(sets), dtype=np.int32), self.size)[order]
+
+    def links(self, code: int, root: int, hashes: np.ndarray) -> list[tuple[int, int]]:
+        """(a, b): a link to one query of each other component that has any."""
+        lo, hi = np.searchsorted(self.hashes, hashes, "left"), np.searchsorted(self.hashes, hashes, "right")
+        n = hi - lo
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+        common = np.bincount(self.owner[at], minlength=len(self.code))
+        alike = np.flatnonzero((common >= self.threshold * (len(hashes) + self.size - common) - 1e-9) & (self.root != root))
+        _, first = np.unique(self.root[alike], return_index=True)
+        return [(min(code, c), max(code, c)) for c in self.code[alike[first]].tolist()]
+
+
+def query_links(large: DataFrame, roots: DataFrame, by_code: DataFrame, keyed: DataFrame, text: str, k: int, threshold: float) -> DataFrame | None:
+    """(a, b): links that join texts of the larger bands, so far apart, to other components; None if there is nothing to ask."""
+    members = large.select("band", F.explode("x.code").alias("code")).join(roots.withColumnRenamed("node", "code"), "code", "left")
+    members = materialize(members.select("band", "code", F.coalesce("root", "code").alias("root")), "members")
+    sizes = members.groupBy("band", "root").agg(F.count("*").alias("n"))
+    most = sizes.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("most"))
+    odd = materialize(members.join(most, "band").where("root <> most").select("code").distinct(), "odd")
+    if odd.isEmpty():
+        return None
+    all_sets = materialize(sets_of(members.select("code").distinct(), by_code, keyed, text, k).join(members.select("code", "root").distinct(), "code"), "all-sets")
+    asked = materialize(all_sets.join(odd, "code", "left_semi"), "asked")
+    passes = -(-asked.agg(F.sum(F.size("hashes"))).first()[0] // QUERY_SHINGLES)
+    found = None
+    for p in range(passes):
+        part = asked.where(F.pmod(F.xxhash64("code"), F.lit(passes)) == p).select("code", "root", "hashes").collect()
+        if not part:
+            continue
+        columns = [r[0] for r in part], [r[1] for r in part], [r[2] for r in part]
+
+        def run(batches, columns=columns):
+            import pyarrow as pa
+
+            queries = Queries(*columns, threshold)
+            for batch in batches:
+                code, root = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                out = [x for i in range(batch.num_rows) for x in queries.links(int(code[i]), int(root[i]), batch.column(2)[i].values.to_numpy())]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+
+        links = materialize(bounded(all_sets).select("code", "root", "hashes").mapInArrow(run, "a long, b long").distinct(), "links")
+        found = links if found is None else found.unionByName(links)
+    return found
+
+
 def near_duplicates(documents: DataFrame, text: str = "text", id_column: str = "doc_id", k: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """id, _key, code, component_id (the smallest id that links reach) and keeper of every row.
 
@@ -199,13 +248,9 @@ def near_duplicates(documents: DataFrame, text: str = "text", id_column: str = "
     shared = materialize(shared_bands(by_code.where("n > 0")), "bands")
     pairs = materialize(candidate_pairs(shared, threshold).unionByName(fingerprint_pairs(by_code)).distinct(), "pairs")
     roots = materialize(components(verified(pairs, by_code, keyed, text, k, threshold)), "roots")
-    large = shared.where(F.size("x") > WHOLE)
-    if not large.isEmpty():
-        rest = materialize(remaining_pairs(large, roots, threshold).join(pairs, ["a", "b"], "left_anti"), "rest")
-        if not rest.isEmpty():
-            more = verified(rest, by_code, keyed, text, k, threshold)
-            roots = materialize(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "roots")
-        release(rest)
+    more = query_links(shared.where(F.size("x") > WHOLE), roots, by_code, keyed, text, k, threshold)
+    if more is not None:
+        roots = materialize(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "roots")
     tied = by_code.select("code", "_least").join(roots.withColumnRenamed("node", "code"), "code")
     best = tied.groupBy("root").agg(F.min("_least").alias("_best"))
     linked = materialize(tied.join(best, "root").select("code", "_best"), "linked")
