@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspan.llm.arrowtext import blocks, bounded, map_texts
-from veilspan.session import materialize
+from veilspan.llm.decontaminate import side
+from veilspan.session import materialize, release
 
 DIM = 8192
 MAX_PER_LANG, MAX_ROWS = 500, 8000
@@ -150,13 +151,19 @@ def learn(documents: DataFrame, text: str = "text", lang: str = "lang", where: s
     """
     rows = documents.where(f"({where}) AND `{lang}` IS NOT NULL AND `{text}` IS NOT NULL").select(F.col(lang).alias("_lang"), F.col(text).alias("_text"), F.xxhash64(text).alias("_hash"))
     rows = rows.where(F.col("_text").rlike(r"\p{L}"))
-    distinct = rows.groupBy("_lang", "_hash").agg(F.lit(1))
-    n_langs = rows.select("_lang").distinct().count()
+    distinct = materialize(rows.groupBy("_lang", "_hash").agg(F.lit(1)).select("_lang", "_hash"), "hashes")
+    sizes = materialize(distinct.groupBy("_lang").agg(F.count("*").alias("_n")), "langs")
+    n_langs = sizes.count()
     if not n_langs:
         return LanguageModel()
     quota = max(1, min(max_per_lang, max_rows // n_langs))
+    # Hashes are even over 64 bits: the least 4 * quota of a language, about, are enough to rank, so no language fills a task.
+    least = F.col("_hash") <= F.lit(-(2.0**63)) + F.lit(2.0**64) * F.least(F.lit(1.0), F.lit(4.0 * quota + 100) / F.col("_n"))
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_hash"))
-    chosen = materialize(distinct.select("_lang", "_hash", rank.alias("_rank")).where(F.col("_rank") <= quota).select("_lang", "_hash"), "chosen")
+    chosen = distinct.join(side(sizes, n_langs), "_lang").where(least).select("_lang", "_hash", rank.alias("_rank")).where(F.col("_rank") <= quota)
+    chosen = materialize(chosen.select("_lang", "_hash"), "chosen")
+    release(distinct)
+    release(sizes)
 
     def work():
         def step(columns, texts):
