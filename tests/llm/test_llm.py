@@ -133,6 +133,64 @@ def brute_url(url):
     return host, where, max(fits, key=len, default=None)
 
 
+def murmur3(raw, seed=42):
+    """The 32-bit hash of Spark's HashingTF, in plain Python."""
+    h, m = seed, 0xFFFFFFFF
+    turn = lambda x, r: (x << r | x >> 32 - r) & m
+
+    def mix(k):
+        return turn(k * 0xCC9E2D51 & m, 15) * 0x1B873593 & m
+
+    whole = len(raw) // 4 * 4
+    for i in range(0, whole, 4):
+        h = (turn(h ^ mix(int.from_bytes(raw[i : i + 4], "little")), 13) * 5 + 0xE6546B64) & m
+    rest = int.from_bytes(raw[whole:], "little")
+    if len(raw) > whole:
+        h ^= mix(rest)
+    h ^= len(raw)
+    for r, f in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ h >> r) * f & m
+    return h ^ h >> 16
+
+
+def test_url_verdicts_brute_force(spark):
+    """The learned verdict of every page without a rule, by a plain scorer over the model's weights."""
+    model = urls.learn(spark)
+    weights, bias = model.regression.coefficients.toArray(), model.regression.intercept
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    given_urls = {r.page_id: r.url for r in pages.collect()}
+
+    def probability(url):
+        host, where, _ = brute_url(url)
+        grams = {mark + part[i : i + n] for mark, text in (("h:", host), ("p:", where)) for n in urls.SIZES for part in [f"^{text}$"] for i in range(len(part) - n + 1)}
+        signed = {(h - (1 << 32) if h >> 31 else h) % urls.DIM for h in (murmur3(g.encode()) for g in grams)}
+        return 1 / (1 + np.exp(-(bias + sum(weights[i] for i in signed))))
+
+    rows = urls.judge(pages, model).collect()
+    assert rows and list(rows[0].asDict()) == ["page_id", "host", "path", "rule", "verdict", "p_block"]
+    unwanted = ("casino", "bets", "pills", "ads-", "spam", "adult")
+    for r in rows:
+        assert abs(r.p_block - probability(given_urls[r.page_id])) < 1e-9
+        if r.rule is None:
+            assert r.verdict == ("block" if r.p_block >= model.cut else "allow")
+    free = [(r.verdict == "block", any(w in r.host for w in unwanted)) for r in rows if r.rule is None]
+    assert not any(blocked and not bad for blocked, bad in free)
+    assert sum(blocked for blocked, bad in free if bad) >= 0.9 * sum(bad for _, bad in free)
+    assert 0.5 <= model.cut < 0.95
+
+
+def test_url_table_held_out(spark):
+    table = urls.labelled_urls()
+    assert len(table) <= 200 and len({u for u, _ in table}) == len(table)
+    part = [(u, y) for i, (u, y) in enumerate(table) if i % 5]
+    held = [(u, y) for i, (u, y) in enumerate(table) if not i % 5]
+    df = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(held)], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in urls.judge(df, urls.learn(spark, part), rules=()).collect()}
+    assert sum(got[i] == ("block" if y else "allow") for i, (_, y) in enumerate(held)) >= 0.6 * len(held)
+    assert sum(got[i] == "block" for i, (_, y) in enumerate(held) if not y) <= 2
+    assert urls.best_cut([(0.9, True), (0.6, False), (0.8, True), (0.1, False)]) == pytest.approx(0.7)
+
+
 def test_url_query(spark):
     pages = {r.page_id: r.url for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in queries.QUERIES["op2_url_filters"](spark, SF).collect():

@@ -208,9 +208,9 @@ def learn(documents: DataFrame, labels: DataFrame, text: str = "text", max_train
 
 
 def judge(documents: DataFrame, rules: DecisionList, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep` columns, the five counts, base_failed, the rule that fired, and kept."""
+    """`keep` columns, the five counts, base_failed, kept, and the number of the rule that fired."""
     stats = statistics(documents, text, keep)
     return stats.select(
-        *keep, *COUNTS, base_failed().alias("base_failed"), rules.fired().alias("rule"),
-        (~base_failed() & rules.verdict()).alias("kept"),
+        *keep, *COUNTS, base_failed().alias("base_failed"),
+        (~base_failed() & rules.verdict()).alias("kept"), rules.fired().alias("rule"),
     )
