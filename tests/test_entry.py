@@ -21,7 +21,7 @@ def plain(v):
     return tuple(v) if isinstance(v, list) else v
 
 
-CHECKED = ["b1_tokenize", "b3_cleanup", "c2_merge_spans", "d1_pattern_spans", "d4_gold_spans", "e1_label_to_binary", "e2_majority_vote", "e6_cue_labels", "g2_importance", "g3_anchors", "h3_stance_nearest", "h10_context", "j3_flip_rate", "l3_mcnemar", "l7_frontier", "m2_stratified_selection", "n3_pareto"]
+CHECKED = ["b1_tokenize", "b3_cleanup", "c1_overlaps", "c2_merge_spans", "c5_token_overlaps", "d1_pattern_spans", "d3_detect_identifiers", "d4_gold_spans", "d8_residual_literals", "e1_label_to_binary", "e2_majority_vote", "e6_cue_labels", "g2_importance", "g3_anchors", "g4_cue_fallback", "h3_stance_nearest", "h7_pii_mask", "h11_all_variants", "i1_render", "j3_flip_rate", "j7_ngram_retention", "j8_residual_rates", "j10_cue_preservation", "l3_mcnemar", "l7_frontier", "m2_stratified_selection", "n3_pareto"]
 
 
 @pytest.mark.parametrize("name", CHECKED)
@@ -41,7 +41,7 @@ def test_names_agree():
 
 
 def test_entry(spark):
-    assert entry.entry(spark).count() == 4
+    assert entry.entry(spark).count() == 6
 
 
 def test_golden_statistics(spark):

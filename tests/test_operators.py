@@ -93,7 +93,17 @@ def test_runs_releases_and_checkpoints(spark, tmp_path):
     assert writers.markdown_table(spark.sql("SELECT 0.5D AS rate, CAST(NULL AS INT) AS n"), ("rate",)).endswith("| 50.0 | NA |")
     lines = spark.createDataFrame([("/home/someone/x",), ("10.1.2.3",), ("fine",)], "value string")
     assert writers.leaks(lines).count() == 2
-    writers.write_metrics_csv(df.select("row_id"), str(tmp_path / "csv"))
+    writers.write_metrics_csv(df, str(tmp_path / "csv"), "variants")
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).columns == ["row_id", "context", "raw"]
+    writers.write_manifest(spark, str(tmp_path / "manifest"), {"rows": 2, "kind": "é"})
+    assert json.loads("\n".join(r.value for r in spark.read.text(str(tmp_path / "manifest"), wholetext=True).collect())) == {"rows": 2, "kind": "é"}
+    (tmp_path / "bad.json").write_text('{"a": 1}\nno json\n\n')
+    assert [r.value for r in readers.bad_lines(spark, str(tmp_path / "bad.json")).collect()] == ["no json"]
+    try:
+        writers.markdown_table(df, limit=1)
+        raise AssertionError
+    except ValueError:
+        pass
 
 
 def test_stream_equals_batch(spark, tmp_path):

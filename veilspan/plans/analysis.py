@@ -427,11 +427,6 @@ def _(q):
     return q.values([(q.text(f"k={k}, r={r}"), str(k), str(r), *[q.d(x) for x in rest], "0") for k, r, *rest in data], "setting, top_k, radius, positive_f1, flip_pct, retained_token_pct, target_cue_pct, stance_harm_pct, placeholder_only")
 
 
-@plan("n1_sweep", "runs")
-def _(q):
-    return "SELECT setting, top_k, radius, positive_f1, flip_pct, retained_token_pct FROM runs"
-
-
 @plan("n2_recommended", "runs")
 def _(q):
     return f"SELECT setting, placeholder_only = 0 AND target_cue_pct >= {q.d(95.0)} AND stance_harm_pct >= {q.d(60.0)} AND flip_pct <= {q.d(13.5)} AND retained_token_pct <= {q.d(50.0)} AS recommended FROM runs"

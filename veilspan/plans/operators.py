@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan.functions.lexicon import CLASSIFIER_CUES
-from veilspan.operators import classifiers, identify, learned
-from veilspan.plans import dialect
+from veilspan.operators import classifiers, identify, learned, release
+from veilspan.plans import core, dialect
 from veilspan.registry import query
 from veilspan.streaming.scoring import lexicon_score
 
@@ -52,6 +54,37 @@ def _(spark, sf_dir):
     return scored.groupBy("variant").agg(F.count("*").alias("n"), F.count_if(F.col("pred") == F.col("binary_label")).alias("correct"), F.count("binary_label").alias("labelled"))
 
 
+#: Numbers of anchors and window radii of the sweep.
+SWEEP = ((3, 2), (5, 1), (5, 2))
+
+
+def swept(q, top_k: int, radius: int) -> str:
+    return f"""SELECT 'k={top_k}, r={radius}' AS setting, {top_k} AS top_k, {radius} AS radius, count(*) AS n, {core.CONFUSION}, count_if(pred <> raw_pred) AS flips,
+CAST(sum(kept_tokens) AS BIGINT) AS kept_tokens, CAST(sum(n_tokens) AS BIGINT) AS n_tokens, count_if(placeholder) AS placeholder_only FROM facts WHERE variant = 'context'"""
+
+
+def swept_oracle() -> str:
+    """The oracle's relations once for each setting."""
+    parts, usual = [], (core.TOP_K, core.RADIUS)
+    try:
+        for k, r in SWEEP:
+            core.TOP_K, core.RADIUS = k, r
+            parts.append(f"SELECT * FROM ({dialect.render(lambda q, k=k, r=r: swept(q, k, r), ('facts',), dialect.DUCKDB)}) AS s{len(parts)}")
+    finally:
+        core.TOP_K, core.RADIUS = usual
+    text = "\nUNION ALL ".join(parts)
+    for t in dialect.TABLES:
+        text = text.replace(f"@{t}@", t)
+    return text
+
+
+@query("n1_sweep", swept_oracle)
+def _(spark, sf_dir):
+    """The context releases of several settings, each made anew, and what they keep and flip."""
+    runs = [dialect.run(spark, sf_dir, lambda q, k=k, r=r: swept(q, k, r), ("facts",), release.Settings(top_k=k, radius=r)) for k, r in SWEEP]
+    return reduce(DataFrame.unionByName, runs)
+
+
 @query("l4_bootstrap")
 def _(spark, sf_dir):
     counts = dialect.run(spark, sf_dir, lambda q: "SELECT variant, count(*) AS n, count_if(hate = raw_hate) AS same FROM paired WHERE raw_hate IN ('YES', 'NO') GROUP BY variant", ("paired",))

@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 SCORES = "toxicity severe_toxicity obscene threat insult identity_attack sexual_explicit".split()
 
 
-def read_csv(spark: SparkSession, path: str, text_col: str, label_col: str | None = None, id_col: str | None = None) -> DataFrame:
-    """Any CSV with a header; columns are checked, a missing id becomes the row's ordinal in the file."""
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+def read_csv(spark: SparkSession, path: str, text_col: str, label_col: str | None = None, id_col: str | None = None, multi_line: bool = True) -> DataFrame:
+    """Any CSV with a header; columns are checked, a missing id becomes a number of the row.
+
+    Numbers rise with the rows; in one file they are its ordinals. multi_line: fields may hold line
+    feeds, which makes each file one task; without it large files are split.
+    """
+    raw = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
     missing = [c for c in (text_col, label_col, id_col) if c and c not in raw.columns]
     if missing:
         raise ValueError(f"columns not found: {', '.join(missing)}")
@@ -30,7 +34,7 @@ def read_rationale_corpus(spark: SparkSession, records: str, splits: str, split:
     ranked = votes.groupBy("id", "label").agg(F.count("*").alias("n"), F.min("p").alias("first"))
     best = ranked.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "first"))).where("r = 1").select("id", "label")
     targets = F.array_sort(F.array_distinct(F.filter(F.transform(F.flatten("annotators.target"), lambda t: F.lower(t)), lambda t: ~t.isin("", "none", "nan", "other"))))
-    mask = F.expr("transform(sequence(0, size(post_tokens) - 1), i -> CAST(coalesce(aggregate(filter(rationales, m -> size(m) > i), 0, (a, m) -> a + m[i]) * 2 >= size(filter(rationales, m -> size(m) > i)) AND size(filter(rationales, m -> size(m) > i)) > 0, false) AS INT))")
+    mask = F.expr("transform(CASE WHEN size(post_tokens) > 0 THEN sequence(0, size(post_tokens) - 1) ELSE array() END, i -> CAST(coalesce(aggregate(filter(rationales, m -> size(m) > i), 0, (a, m) -> a + m[i]) * 2 >= size(filter(rationales, m -> size(m) > i)) AND size(filter(rationales, m -> size(m) > i)) > 0, false) AS INT))")
     return rows.join(best, "id", "left").select(F.col("id").alias("row_id"), F.lit("rationales").alias("dataset"), F.lit(split).alias("split"), F.array_join("post_tokens", " ").alias("text"), "label", targets.alias("target_groups"), F.when(F.size("rationales") > 0, mask).alias("rationale_token_mask"))
 
 
@@ -55,8 +59,13 @@ def read_char_offsets(rows: DataFrame, position: str = "position", text: str = "
     return rows.where(F.trim(F.col(text)) != "").withColumn("offsets", F.transform(F.regexp_extract_all(F.col(position).cast("string"), F.lit(r"(\d+)"), F.lit(1)), lambda x: x.cast("int")))
 
 
+def bad_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a JSON lines file that are no JSON objects, which `read_releases` leaves out."""
+    return spark.read.text(path).where((F.trim("value") != "") & F.try_parse_json("value").isNull()).select("value")
+
+
 def read_releases(spark: SparkSession, path: str, schema: str, needed: list[str] | None = None) -> DataFrame:
-    """Nested JSON lines of releases; bad lines are skipped, `needed` variants must all be there."""
+    """Nested JSON lines of releases; bad lines are left out (`bad_lines` gives them), `needed` variants must all be there."""
     rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
     return rows.where(F.size(F.array_intersect(F.map_keys("variants"), F.array(*map(F.lit, needed)))) == len(needed)) if needed else rows
 

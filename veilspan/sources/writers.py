@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,11 +17,23 @@ def append_checkpoint(df: DataFrame, path: str) -> None:
     write_json_lines(df, path, "append")
 
 
-def write_metrics_csv(df: DataFrame, path: str) -> None:
-    """A small aggregate as one CSV file with a header."""
+def write_metrics_csv(df: DataFrame, path: str, values: str | None = None) -> None:
+    """A small aggregate as one CSV file with a header.
+
+    values: a map column that is spread out, one column for each key that any row has.
+    """
+    if values:
+        keys = sorted(r[0] for r in df.select(F.explode(F.map_keys(values))).distinct().collect())
+        df = df.select(*[c for c in df.columns if c != values], *[F.col(values)[k].alias(k) for k in keys])
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_manifest(spark: SparkSession, path: str, content: dict) -> None:
+    """What a run was made with and of, as one JSON document, keys in order."""
+    text = json.dumps(content, indent=2, sort_keys=True, ensure_ascii=False)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def formatted(value, percent: bool = False) -> str:
     if value is None:
         return "NA"
@@ -29,8 +43,10 @@ def formatted(value, percent: bool = False) -> str:
 
 
 def markdown_table(df: DataFrame, percent: tuple[str, ...] = (), limit: int = 200) -> str:
-    """A small aggregate as a Markdown table; `limit` bounds what reaches the driver."""
-    rows = df.limit(limit).collect()
+    """A small aggregate as a Markdown table; one of more than `limit` rows is an error, not cut off."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"a table of more than {limit} rows")
     head = "| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns)
     return head + "".join("\n| " + " | ".join(formatted(r[c], c in percent) for c in df.columns) + " |" for r in rows)
 
