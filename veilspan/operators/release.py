@@ -541,11 +541,14 @@ def _(b):
     return r, v, [b.rows["binary_label"][i] for i in r], *zip(*found), *zip(*(judged["raw"][i] for i in r))
 
 
-@relation("bundles", "binary_label int, only_text string, window_text string, context_text string, n_only int, n_window int, n_context int")
+@relation("bundles", "binary_label int, only_text string, window_text string, context_text string, n_only int, n_window int, n_context int, n_groups int, quasi_residual boolean")
 def _(b):
-    texts = [b.released[v] for v in ("importance_only", "importance_window", "context")]
-    counts = [[sum(bool(_ALNUM.search(t)) for t in row) for row in b.released_tokens[v]] for v in ("importance_only", "importance_window", "context")]
-    return range(b.n), b.rows["binary_label"], *texts, *counts
+    reduced = VARIANTS[3:]
+    counts = [[sum(bool(_ALNUM.search(t)) for t in row) for row in b.released_tokens[v]] for v in reduced]
+    groups = [sum(map(bool, (g or "").split("|"))) for g in b.rows.get("target_groups") or [""] * b.n]
+    gold = b.rows.get("gold") or [None] * b.n
+    quasi = [any(g["label"] not in L.DIRECT and b.texts[r][g["start"] : g["end"]] in b.released["pii_mask"][r] for g in known or []) for r, known in enumerate(gold)]
+    return range(b.n), b.rows["binary_label"], *(b.released[v] for v in reduced), *counts, groups, quasi
 
 
 def _blocks(batches: Iterator, columns: list[str]) -> Iterator[dict[str, list]]:

@@ -306,18 +306,20 @@ SELECT tok AS t0, stance AS s0, lead(tok) OVER (ORDER BY tok) AS t1, lead(stance
 # ---------------------------------------------------------------- review sheets (M)
 
 
-@relation("bundles", "releases", "rows")
+@relation("bundles", "releases", "subject", "residuals")
 def _(q):
     count = lambda c: f"CAST({q.size(q.keep(q.findall(c, L.TOKEN), 't', q.matches('t', r'[' + chr(92) + 'p{L}' + chr(92) + 'p{N}]')))} AS INT)"
     one = lambda v: f"max(CASE WHEN variant = '{v}' THEN released_text END)"
-    return f"""SELECT row_id, binary_label, only_text, window_text, context_text, {count('only_text')} AS n_only, {count('window_text')} AS n_window, {count('context_text')} AS n_context FROM (
-SELECT row_id, max(binary_label) AS binary_label, {one('importance_only')} AS only_text, {one('importance_window')} AS window_text, {one('context')} AS context_text FROM releases GROUP BY row_id) b"""
+    return f"""SELECT b.row_id, b.binary_label, only_text, window_text, context_text, {count('only_text')} AS n_only, {count('window_text')} AS n_window, {count('context_text')} AS n_context,
+len(list_filter(string_split(s.target_groups, '|'), lambda g: g <> '')) AS n_groups, coalesce(x.residual, false) AS quasi_residual FROM (
+SELECT row_id, max(binary_label) AS binary_label, {one('importance_only')} AS only_text, {one('importance_window')} AS window_text, {one('context')} AS context_text FROM releases GROUP BY row_id) b
+JOIN subject s ON b.row_id = s.row_id LEFT JOIN (SELECT row_id, bool_or(residual) AS residual FROM residuals WHERE variant = 'pii_mask' AND NOT {q.in_list('label', L.DIRECT)} GROUP BY row_id) x ON b.row_id = x.row_id"""
 
 
 @relation("reasons", "bundles")
 def _(q):
     return f"""SELECT row_id, coalesce(CAST(binary_label AS STRING), 'unknown') AS label, n_only, n_window, n_context, CASE WHEN n_only <= 2 THEN 'importance_only_very_short' WHEN {q.matches('window_text', r'^[.,;:]|[,;:]$')} THEN 'importance_window_fragment'
-WHEN n_context <= 6 THEN 'low_context' WHEN n_context >= n_window + 4 THEN 'context_extension' ELSE 'label_balance' END AS reason FROM bundles"""
+WHEN n_context <= 6 THEN 'low_context' WHEN n_context >= n_window + 4 THEN 'context_extension' WHEN n_groups > 1 THEN 'multi_target' WHEN quasi_residual THEN 'pii_mask_quasi_risk' ELSE 'label_balance' END AS reason FROM bundles"""
 
 
 @plan("m1_review_reason", "reasons")
@@ -325,7 +327,8 @@ def _(q):
     return "SELECT row_id, label, reason FROM reasons"
 
 
-PRIORITY = "CASE reason WHEN 'importance_only_very_short' THEN 0 WHEN 'importance_window_fragment' THEN 1 WHEN 'low_context' THEN 2 WHEN 'context_extension' THEN 3 ELSE 4 END"
+REASONS = ("importance_only_very_short", "importance_window_fragment", "low_context", "context_extension", "multi_target", "pii_mask_quasi_risk", "label_balance")
+PRIORITY = "CASE reason " + " ".join(f"WHEN '{r}' THEN {i}" for i, r in enumerate(REASONS)) + " END"
 SHUFFLE = "md5(concat('17:', CAST(row_id AS STRING)))"
 
 
@@ -450,8 +453,14 @@ def _(q):
     return "SELECT o_orderpriority AS variant, count(*) AS n, round(avg(CAST(o_custkey AS DOUBLE)), 6) AS mean_value, round(coalesce(stddev_samp(CAST(o_custkey AS DOUBLE)), 0), 6) AS std_value FROM @orders@ GROUP BY o_orderpriority"
 
 
-@plan("n6_group_deltas", "facts")
+@relation("group_facts", "facts")
 def _(q):
-    return f"""SELECT c.functionality, c.kept - b.kept AS token_cost, c.flips - b.flips AS flip_delta FROM (SELECT functionality, sum(kept_tokens) AS kept, count_if(pred <> raw_pred) AS flips FROM facts WHERE variant = 'context' GROUP BY functionality) c
-JOIN (SELECT functionality, sum(kept_tokens) AS kept, count_if(pred <> raw_pred) AS flips FROM facts WHERE variant = 'importance_window' GROUP BY functionality) b ON c.functionality = b.functionality
-ORDER BY token_cost DESC, c.functionality LIMIT 8"""
+    return "SELECT functionality, variant, count(*) AS n, sum(kept_tokens) AS kept, count_if(pred <> raw_pred) AS flips FROM facts GROUP BY functionality, variant"
+
+
+@plan("n6_group_deltas", "group_facts")
+def _(q):
+    # Against both reduced baselines; wins: in how many groups the context flips less.
+    return """SELECT baseline, functionality, n, token_cost, flip_delta, count_if(flip_delta < 0) OVER (PARTITION BY baseline) AS wins, count(*) OVER (PARTITION BY baseline) AS n_groups FROM (
+SELECT b.variant AS baseline, c.functionality, c.n, CAST(c.kept - b.kept AS BIGINT) AS token_cost, c.flips - b.flips AS flip_delta
+FROM group_facts c JOIN group_facts b ON c.functionality = b.functionality AND b.variant IN ('importance_only', 'importance_window') WHERE c.variant = 'context') d"""
