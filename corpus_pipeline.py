@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan.llm import decontaminate, langid, neardup, packing, quality
-from veilspan.session import materialize, table
+from veilspan.session import materialize, release, table
 
 #: A document stays if its language is known at least this surely.
 MIN_LANGUAGE_SCORE = 0.3
@@ -75,5 +75,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        done, docs = docs, materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        release(done)  # what the stage before wrote; tables are left alone
     return docs
