@@ -74,7 +74,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        done, docs = docs, materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
-        release(done)  # what the stage before wrote; tables are left alone
+    for number, (name, stage) in enumerate(STAGES):
+        read, docs = docs, materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        if number:
+            release(read)  # what the stage before wrote
     return docs
