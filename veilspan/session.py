@@ -71,10 +71,14 @@ def materialize(df: DataFrame, label: str = "part") -> DataFrame:
 
 
 def release(df: DataFrame) -> None:
-    """Delete what `materialize` wrote for `df` (only once nothing reads it any more)."""
+    """Delete what `materialize` wrote for `df` (only once nothing reads it any more).
+
+    Only folders of its own directly in the scratch folder are ever deleted.
+    """
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
+    scratch = jvm.org.apache.hadoop.fs.Path(scratch_dir(spark)).toUri().getPath()
     for file in df.inputFiles()[:1]:
         folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if folder.getName().startswith("veilspan-"):
+        if folder.getName().startswith("veilspan-") and folder.getParent().toUri().getPath() == scratch:
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
