@@ -33,11 +33,15 @@ BLOCK_ROWS, BLOCK_CHARS = 512, 2 << 20
 PAD = 4096
 
 _TOKEN = re.compile(L.TOKEN)
+#: The alternatives that can match in a word without any of the marks the others need.
+_MARK = re.compile(r"[@#\[]|://|www\.")
+_PLAIN = re.compile("|".join(L.TOKEN_ALTERNATIVES[6:]))
 _ALNUM = re.compile(r"[^\W_]")
-#: What tidies a rendered text, in order: white space, marks, brackets, quotes.
-_TIDY = [(re.compile(p), to) for p, to in ((r"\s+", " "), (r"\s+([,.;:!?%])", r"\1"), (r"([(])\s+", r"\1"), (r"\s+([)])", r"\1"))]
+#: What is white space to patterns and to str.split; none lies beyond the last of these.
+_BLANK = np.array([chr(c).isspace() for c in range(0x3002)])
+#: What tidies a rendered text once its white space is single spaces, in order: marks, brackets, quotes.
+_TIDY = (*((" " + c, c) for c in ",.;:!?%"), ("( ", "("), (" )", ")"))
 _QUOTES = (("`` ", '"'), (" ''", '"'), (" ' ", "'"))
-_LAST_QUOTE = re.compile(r"\s+([\"'])")
 
 
 @dataclass(frozen=True)
@@ -56,13 +60,10 @@ class Settings:
 
 
 def tidy(text: str) -> str:
-    out = text
-    for pattern, to in _TIDY:
-        out = pattern.sub(to, out.strip() if to == " " else out)
-    out = out.strip()
-    for old, new in _QUOTES:
+    out = " ".join(text.split())
+    for old, new in (*_TIDY, *_QUOTES):
         out = out.replace(old, new)
-    return _LAST_QUOTE.sub(r" \1", out).strip()
+    return out.strip()
 
 
 def merged(s: np.ndarray, e: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,24 +108,57 @@ class Block:
     # ------------------------------------------------------------ tokens and cues
 
     @cached_property
-    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-        row, s, e, tok = [], [], [], []
-        for r, (text, base) in enumerate(zip(self.texts, self.base.tolist())):
-            for m in _TOKEN.finditer(text):
-                row.append(r)
-                s.append(base + m.start())
-                e.append(base + m.end())
-                tok.append(m.group())
-        return np.array(row, np.int64), np.array(s, np.int64), np.array(e, np.int64), tok
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """(row, start, end, kind) of each token, and the texts of the kinds (some are of no token).
+
+        No token reaches across white space, so each distinct word of the block is cut into tokens once.
+        """
+        whole = "\n".join(self.texts)
+        code = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        blank = _BLANK[np.minimum(code, len(_BLANK) - 1)]
+        at = np.flatnonzero(~blank & np.r_[True, blank[:-1]][: len(blank)])
+        words = whole.split()
+        distinct = list(dict.fromkeys(words))
+        kinds = dict(zip(distinct, range(len(distinct))))
+        word = np.fromiter(map(kinds.__getitem__, words), np.int64, len(words))
+        # A word of Latin letters is one token.
+        plain = np.fromiter(map(str.isalpha, distinct), bool, len(distinct)) & np.fromiter(map(str.isascii, distinct), bool, len(distinct))
+        count, cut = np.ones(len(distinct), np.int64), []
+        for i in np.flatnonzero(~plain).tolist():
+            w, before = distinct[i], len(cut)
+            cut += [(*m.span(), kinds.setdefault(m.group(), len(kinds))) for m in (_TOKEN if _MARK.search(w) else _PLAIN).finditer(w)]
+            count[i] = len(cut) - before
+        first = np.cumsum(count) - count
+        parts = np.zeros((count.sum(), 3), np.int64)  # start, end, kind of the distinct words' tokens
+        whole_word = np.zeros(len(parts), bool)
+        whole_word[first[plain]] = True
+        parts[whole_word, 1] = np.fromiter(map(len, distinct), np.int64, len(distinct))[plain]
+        parts[whole_word, 2] = np.flatnonzero(plain)
+        parts[~whole_word] = np.array(cut, np.int64).reshape(-1, 3)
+        n = count[word]
+        s, e, kind = parts[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first[word], n)].T
+        own = np.cumsum(self.length + 1) - (self.length + 1)  # where the rows' texts start
+        row = np.searchsorted(own, at, "right") - 1
+        at = np.repeat(at + (self.base - own)[row], n)
+        return np.repeat(row, n), at + s, at + e, kind, list(kinds)
 
     row = property(lambda self: self.found[0])
     s = property(lambda self: self.found[1])
     e = property(lambda self: self.found[2])
-    tok = property(lambda self: self.found[3])
+    kind = property(lambda self: self.found[3])
+    kinds = property(lambda self: self.found[4])
+
+    @cached_property
+    def tok(self) -> list[str]:
+        return list(map(self.kinds.__getitem__, self.kind.tolist()))
+
+    @cached_property
+    def low_kinds(self) -> list[str]:
+        return list(map(str.lower, self.kinds))
 
     @cached_property
     def low(self) -> list[str]:
-        return [t.lower() for t in self.tok]
+        return list(map(self.low_kinds.__getitem__, self.kind.tolist()))
 
     @cached_property
     def count(self) -> np.ndarray:
@@ -147,11 +181,19 @@ class Block:
     def cue(self) -> np.ndarray:
         """0, or the number of the token's cue in CUES from 1."""
         number = {term: CUES.index(label) + 1 for label, term in self.set.lexicon.labelled()}
-        out = np.fromiter((number.get(w, 0) for w in self.low), np.int64, len(self.low))
-        for r, groups in enumerate(self.rows.get("target_groups") or []):
-            for term in group_terms(groups):
-                a, b = self.first[r], self.first[r] + self.count[r]
-                out[a:b][[w == term for w in self.low[a:b]]] = 1
+        out = np.array([number.get(w, 0) for w in self.low_kinds], np.int64)[self.kind]
+        groups = self.rows.get("target_groups") or []
+        terms = {g: group_terms(g) for g in set(groups)}
+        wanted = set().union(*terms.values())
+        kinds: dict[str, list[int]] = {}
+        for k, w in enumerate(self.low_kinds) if wanted else ():
+            if w in wanted:
+                kinds.setdefault(w, []).append(k)
+        named = {g: [k for w in ws for k in kinds.get(w, ())] for g, ws in terms.items()}
+        for r, g in enumerate(groups):
+            if named[g]:
+                part = slice(self.first[r], self.first[r] + self.count[r])
+                out[part][np.isin(self.kind[part], named[g])] = 1
         return out
 
     def tokens_of(self, *labels: str) -> np.ndarray:
@@ -169,12 +211,8 @@ class Block:
     @cached_property
     def eligible(self) -> np.ndarray:
         """Numbers of the tokens that may be anchors."""
-        known: dict[str, bool] = {}
         stop = set(L.STOPWORDS)
-        for t, w in zip(self.tok, self.low):
-            if t not in known:
-                known[t] = bool(_ALNUM.search(t)) and not (t[0] == "[" and t[-1] == "]") and w not in stop
-        fit = np.fromiter((known[t] for t in self.tok), bool, len(self.tok))
+        fit = np.array([(t.isalnum() or bool(_ALNUM.search(t))) and not (t[0] == "[" and t[-1] == "]") and w not in stop for t, w in zip(self.kinds, self.low_kinds)], bool)[self.kind]
         xs = np.array([b + x["start"] for b, spans in zip(self.base.tolist(), self.spans) for x in spans], np.int64)
         xe = np.array([b + x["end"] for b, spans in zip(self.base.tolist(), self.spans) for x in spans], np.int64)
         return np.flatnonzero(fit & ~touched(self.s, self.e, xs, xe))
@@ -544,11 +582,12 @@ def _(b):
 @relation("bundles", "binary_label int, only_text string, window_text string, context_text string, n_only int, n_window int, n_context int, n_groups int, quasi_residual boolean")
 def _(b):
     reduced = VARIANTS[3:]
-    counts = [[sum(bool(_ALNUM.search(t)) for t in row) for row in b.released_tokens[v]] for v in reduced]
+    released = {v: b.release(v) for v in ("pii_mask", *reduced)}
+    counts = [[sum(bool(_ALNUM.search(t)) for t in _TOKEN.findall(text)) for text in released[v]] for v in reduced]
     groups = [sum(map(bool, (g or "").split("|"))) for g in b.rows.get("target_groups") or [""] * b.n]
     gold = b.rows.get("gold") or [None] * b.n
-    quasi = [any(g["label"] not in L.DIRECT and b.texts[r][g["start"] : g["end"]] in b.released["pii_mask"][r] for g in known or []) for r, known in enumerate(gold)]
-    return range(b.n), b.rows["binary_label"], *(b.released[v] for v in reduced), *counts, groups, quasi
+    quasi = [any(g["label"] not in L.DIRECT and b.texts[r][g["start"] : g["end"]] in released["pii_mask"][r] for g in known or []) for r, known in enumerate(gold)]
+    return range(b.n), b.rows["binary_label"], *(released[v] for v in reduced), *counts, groups, quasi
 
 
 def _blocks(batches: Iterator, columns: list[str]) -> Iterator[dict[str, list]]:

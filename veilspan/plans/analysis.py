@@ -373,9 +373,13 @@ def _(q):
     return "SELECT label, reason, count(*) AS n FROM selected GROUP BY label, reason"
 
 
-@plan("m6_review_summary", "prefilled")
+@plan("m6_review_summary", "prefilled", within="selected")
 def _(q):
-    cells = " UNION ALL ".join(f"SELECT variant, '{c}' AS question, {c} AS answer FROM prefilled" for c in ("harmful_cue_preserved", "stance_preserved", "target_preserved", "context_sufficient"))
+    questions = ("harmful_cue_preserved", "stance_preserved", "target_preserved", "context_sufficient")
+    if q.name == "spark":  # reads its source once
+        cells = f"SELECT variant, question, answer FROM prefilled LATERAL VIEW stack({len(questions)}, {', '.join(f"'{c}', {c}" for c in questions)}) _x AS question, answer"
+    else:
+        cells = " UNION ALL ".join(f"SELECT variant, '{c}' AS question, {c} AS answer FROM prefilled" for c in questions)
     return f"SELECT variant, question, count_if(answer = 'yes') AS yes, count_if(answer = 'no') AS no, count_if(answer = 'na') AS na, CASE WHEN count_if(answer <> 'na') > 0 THEN count_if(answer = 'yes') / CAST(count_if(answer <> 'na') AS DOUBLE) END AS yes_rate FROM ({cells}) c GROUP BY variant, question"
 
 

@@ -223,31 +223,45 @@ def _views(spark: SparkSession, sf_dir: str, sql: str) -> str:
     return sql
 
 
-def run(spark: SparkSession, sf_dir: str, select: Callable[[Dialect], str], needs: tuple[str, ...] = (), settings: release.Settings | None = None) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, select: Callable[[Dialect], str], needs: tuple[str, ...] = (), settings: release.Settings | None = None, within: str | None = None) -> DataFrame:
     """Spark SQL over the Parquet tables of `sf_dir`, written @name@ in the text.
 
     LOCAL relations are derived from the subject rows, one walk each; one that is read more than
     once is written to shared storage first, so a lost executor costs no more than a re-read.
+    `within` is a relation of few rows to which all LOCAL relations after it are joined by row_id:
+    it is written once, and those are derived from its subject rows alone.
     """
     order = _ordered(needs, [], True)
     bodies = {n: _RELATIONS[n][1](SPARK) for n in order if n not in LOCAL}
     final = select(SPARK)
     uses = {n: sum(len(re.findall(rf"\b(?:FROM|JOIN)\s+{n}\b", text)) for text in [*bodies.values(), final]) for n in order}
     subject = None
-    for n in order:
+
+    def put(n: str, df: DataFrame) -> None:
+        view = f"vs_{uuid.uuid4().hex}"
+        df.createOrReplaceTempView(view)
+        bodies[n] = f"SELECT * FROM {view}"
+
+    def sql(names: list[str], text: str) -> DataFrame:
+        parts = [f"{n} AS (\n{bodies[n]}\n)" for n in names]
+        return spark.sql(_views(spark, sf_dir, ("WITH " + ",\n".join(parts) + "\n" if parts else "") + text))
+
+    for i, n in enumerate(order):
         if n in LOCAL:
             if subject is None:
                 subject = run(spark, sf_dir, lambda q: "SELECT * FROM subject", ("subject",))
             df = release.derive(subject, n, settings)
-            df = materialize(df, n.replace("_", "-")) if uses[n] > 1 else df
-            view = f"vs_{uuid.uuid4().hex}"
-            df.createOrReplaceTempView(view)
-            bodies[n] = f"SELECT * FROM {view}"
-    parts = [f"{n} AS (\n{bodies[n]}\n)" for n in order]
-    return spark.sql(_views(spark, sf_dir, ("WITH " + ",\n".join(parts) + "\n" if parts else "") + final))
+            put(n, materialize(df, n.replace("_", "-")) if uses[n] > 1 else df)
+        elif n == within:
+            df = materialize(sql(order[: i + 1], f"SELECT * FROM {n}"), n.replace("_", "-"))
+            put(n, df)
+            # As a condition it is pushed down to the scan of the rows.
+            few = f"SELECT * FROM subject WHERE row_id IN (SELECT row_id FROM ({bodies[n]}))"
+            subject = materialize(run(spark, sf_dir, lambda q: few, ("subject",)), "subject")
+    return sql(order, final)
 
 
-def plan(name: str, *needs: str, oracle: bool = True):
+def plan(name: str, *needs: str, oracle: bool = True, within: str | None = None):
     """Register a query that is a SELECT over relations, with its oracle."""
     from veilspan import registry
 
@@ -259,7 +273,7 @@ def plan(name: str, *needs: str, oracle: bool = True):
             return text
 
         # Rendered when asked for: a relation may be registered after the queries that use it.
-        registry.query(name, duck if oracle else None)(lambda spark, sf_dir: run(spark, sf_dir, select, needs))
+        registry.query(name, duck if oracle else None)(lambda spark, sf_dir: run(spark, sf_dir, select, needs, within=within))
         return select
 
     return add
