@@ -20,6 +20,11 @@ def _(q):
 FROM @documents@ d LEFT JOIN @labels@ l ON d.doc_id = l.doc_id"""
 
 
+@relation("unlabelled_rows")
+def _(q):
+    return "SELECT doc_id AS row_id, 'documents' AS dataset, lang AS split, coalesce(text, '') AS text, source AS functionality, CAST(NULL AS INT) AS binary_label FROM @documents@"
+
+
 @plan("a2_smoke_rows")
 def _(q):
     rows = [("'smoke-1'", "'They said not to ban anyone from the forum.'", "0"), ("'smoke-2'", "'Those people should leave and be banned.'", "1"), ("'smoke-3'", "'We condemned the threat against the group.'", "0"), ("'smoke-4'", "'The meeting is on Friday at 8pm.'", "0")]

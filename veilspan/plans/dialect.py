@@ -223,16 +223,18 @@ def _views(spark: SparkSession, sf_dir: str, sql: str) -> str:
     return sql
 
 
-def run(spark: SparkSession, sf_dir: str, select: Callable[[Dialect], str], needs: tuple[str, ...] = (), settings: release.Settings | None = None, within: str | None = None) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, select: Callable[[Dialect], str], needs: tuple[str, ...] = (), settings: release.Settings | None = None, within: str | None = None, instead: dict[str, str] | None = None) -> DataFrame:
     """Spark SQL over the Parquet tables of `sf_dir`, written @name@ in the text.
 
     LOCAL relations are derived from the subject rows, one walk each; one that is read more than
     once is written to shared storage first, so a lost executor costs no more than a re-read.
     `within` is a relation of few rows to which all LOCAL relations after it are joined by row_id:
-    it is written once, and those are derived from its subject rows alone.
+    it is written once, and those are derived from its subject rows alone. Those before it are
+    derived without labels, which are joined to what they yield: the texts then need no shuffle.
+    `instead` has other texts of relations.
     """
     order = _ordered(needs, [], True)
-    bodies = {n: _RELATIONS[n][1](SPARK) for n in order if n not in LOCAL}
+    bodies = {n: _RELATIONS[n][1](SPARK) for n in order if n not in LOCAL} | (instead or {})
     final = select(SPARK)
     uses = {n: sum(len(re.findall(rf"\b(?:FROM|JOIN)\s+{n}\b", text)) for text in [*bodies.values(), final]) for n in order}
     subject = None
@@ -249,9 +251,12 @@ def run(spark: SparkSession, sf_dir: str, select: Callable[[Dialect], str], need
     for i, n in enumerate(order):
         if n in LOCAL:
             if subject is None:
-                subject = run(spark, sf_dir, lambda q: "SELECT * FROM subject", ("subject",))
+                bare = {"rows": _RELATIONS["unlabelled_rows"][1](SPARK)} if within else None
+                subject = run(spark, sf_dir, lambda q: "SELECT * FROM subject", ("subject",), instead=bare)
             df = release.derive(subject, n, settings)
             put(n, materialize(df, n.replace("_", "-")) if uses[n] > 1 else df)
+            if within in order[i:] and "binary_label" in df.columns:
+                bodies[n] = f"SELECT x.* EXCEPT (binary_label), CAST(l.toxic AS INT) AS binary_label FROM ({bodies[n]}) x LEFT JOIN @labels@ l ON x.row_id = l.doc_id"
         elif n == within:
             df = materialize(sql(order[: i + 1], f"SELECT * FROM {n}"), n.replace("_", "-"))
             put(n, df)
