@@ -99,6 +99,23 @@ def test_language_odd(spark, documents, odd):
     assert one.predict(["abc", "1", "½ ² ① Ⅷ", "1 ß"]) == (["en", "und", "und", "en"], [1.0, 0.0, 0.0, 1.0])
 
 
+def test_language_fit_holds_one_matrix():
+    """Besides the matrix of all rows, learning holds the rows of one pair of languages at most."""
+    import tracemalloc
+
+    langs = [a for a in ("da", "de", "es", "fi", "fr", "hu", "pl", "ru") for _ in range(40)]
+    texts = [f"{a} text number {i} " * 9 for i, a in enumerate(langs)]
+    matrix = len(langs) * (langid.DIM + 1) * 4
+    tracemalloc.start()
+    try:
+        model = langid.LanguageModel.fit(texts, langs)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 1.6 * matrix
+    assert model.predict(texts)[0] == langs
+
+
 def test_language_learns_from_any_ids(spark):
     """Null, repeated and string ids, copies and many languages."""
     rows = [(None, f"the words number {i} of that language", "en") for i in range(20)] + [("x", f"les mots numero {i} de cette langue", "fr") for i in range(20)]

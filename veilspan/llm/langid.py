@@ -6,7 +6,8 @@ support vector machines (squared hinge loss) vote for the language, closest pair
 
 Model: trained here, on at most `max_per_lang` distinct labelled texts a language (those with
 the smallest text hashes), `max_rows` in all, whole texts. Executors count the trigrams; the
-driver gets the nonzero counts alone. Every language is learned. Scoring covers every whole text.
+driver gets the nonzero counts alone, packed, and holds one matrix of them (`max_rows` times
+32 KB at most). Every language is learned. Scoring covers every whole text.
 
 Defined results: null texts and texts without a letter (Unicode class L) get `und` with score
 0, as does every text if there is no labelled row. With a single learned language all other
@@ -17,6 +18,7 @@ alphabetically first one. An empty table gives no row; other columns are ignored
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -67,10 +69,12 @@ def histogram(text: str) -> np.ndarray:
     return scaled(counts(text))
 
 
-def linear_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 120) -> tuple[np.ndarray, float]:
-    """Squared-hinge linear machine by accelerated gradient descent; y is +1 or -1. Classes weigh the same."""
+def linear_svm(x1: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 120) -> tuple[np.ndarray, float]:
+    """Squared-hinge linear machine by accelerated gradient descent; y is +1 or -1. Classes weigh the same.
+
+    x1: rows of unit length, each with a constant 1 behind it.
+    """
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    x1 = np.hstack([x, np.ones((len(x), 1), np.float32)])
     w = v = np.zeros(x1.shape[1], np.float32)
     rate = 1 / (2 * 2.0 + penalty)  # rows have unit length and a constant: curvature is 4 at most
     for k in range(steps):
@@ -91,10 +95,11 @@ class LanguageModel:
 
     @classmethod
     def fit(cls, texts: list[str], langs: list[str]) -> LanguageModel:
-        return cls.fit_histograms([histogram(t) for t in texts], langs)
+        return cls.fit_histograms(map(histogram, texts), langs)
 
     @classmethod
-    def fit_histograms(cls, histograms: list[np.ndarray], langs: list[str]) -> LanguageModel:
+    def fit_histograms(cls, histograms: Iterable[np.ndarray], langs: list[str]) -> LanguageModel:
+        """histograms: read once, in the order of `langs`, straight into the matrix."""
         model, kinds = cls(), sorted(set(langs))
         groups: dict[str, list[str]] = {}
         for lang in kinds:
@@ -102,7 +107,9 @@ class LanguageModel:
         model.families = sorted(groups.items())
         if len(kinds) < 2:
             return model
-        x = np.stack(histograms)
+        x = np.ones((len(langs), DIM + 1), np.float32)
+        for row, found in zip(x, histograms):
+            row[:-1] = found
         lang = np.array(langs)
         fam = np.array([family(a) for a in langs])
         columns = [linear_svm(x, np.where(fam == name, 1, -1).astype(np.float32)) for name, _ in model.families if len(model.families) > 1]
@@ -169,19 +176,22 @@ def learn(documents: DataFrame, text: str = "text", lang: str = "lang", where: s
         def step(columns, texts):
             found = [counts(t) for t in texts]
             at = [np.flatnonzero(c) for c in found]
-            return {"lang": columns[0], "hash": columns[1], "at": at, "n": [c[i] for c, i in zip(found, at)]}
+            return {"lang": columns[0], "hash": columns[1], "at": [i.astype("<u2").tobytes() for i in at], "n": [c[i].astype("<u4").tobytes() for c, i in zip(found, at)]}
 
         return step
 
-    counted = map_texts(rows.join(F.broadcast(chosen), ["_lang", "_hash"]), ["_lang", "_hash", "_text"], "_text", "lang string, hash long, at array<int>, n array<int>", work)
-    found = sorted(map(tuple, counted.dropDuplicates(["lang", "hash"]).collect()))
+    counted = map_texts(rows.join(F.broadcast(chosen), ["_lang", "_hash"]), ["_lang", "_hash", "_text"], "_text", "lang string, hash long, at binary, n binary", work)
+    found = sorted(map(tuple, counted.dropDuplicates(["lang", "hash"]).collect()), reverse=True)
+    langs = [r[0] for r in reversed(found)]
 
-    def dense(at, n):
-        out = np.zeros(DIM, np.int64)
-        out[at] = n
-        return scaled(out)
+    def histograms():
+        while found:
+            _, _, at, n = found.pop()
+            out = np.zeros(DIM, np.int64)
+            out[np.frombuffer(at, "<u2")] = np.frombuffer(n, "<u4")
+            yield scaled(out)
 
-    return LanguageModel.fit_histograms([dense(at, n) for _, _, at, n in found], [r[0] for r in found])
+    return LanguageModel.fit_histograms(histograms(), langs)
 
 
 def identify(documents: DataFrame, model: LanguageModel, text: str = "text", id_column: str = "doc_id") -> DataFrame:
