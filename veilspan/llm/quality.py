@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.llm.textexpr import WORD_RE, gram_hashes, pinned, words
+from veilspan.session import short_batches
 
 WINDOW = 8
 MAX_TRAIN = 20_000
@@ -33,7 +34,7 @@ RATIOS = ("mean_word_chars", "symbols_per_word", "dup_line_share", "repeat_share
 
 def statistics(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ratios: bool = True) -> DataFrame:
     """`keep` columns, the five counts and (optionally) the ratios the rules are made of."""
-    base = df.select(*[F.col(c) for c in keep], F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    base = short_batches(df).select(*[F.col(c) for c in keep], F.coalesce(F.col(text), F.lit("")).alias("_t"))
     base = base.select(*keep, "_t", pinned(words(F.col("_t"), WORD_RE)).alias("_w"))
     # Lines with a word; white space inside a line counts when lines are compared.
     lines = F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(WORD_RE))

@@ -49,6 +49,24 @@ def spread(df: DataFrame) -> DataFrame:
     return placed.repartitionByRange(cores, *place).sortWithinPartitions(*place).drop(*place)
 
 
+#: Rows of a Parquet file that a task decodes at a time where whole texts are read.
+TEXT_ROWS = 256
+BATCH_ROWS = "spark.sql.parquet.columnarReaderBatchSize"
+
+
+def short_batches(df: DataFrame) -> DataFrame:
+    """`df`, its session set to decode no more than TEXT_ROWS rows of a Parquet file at a time.
+
+    Spark's own 4,096 rows of text are one array of tens of MB that grows by copies, anew in
+    each task; it outlives young collections, so the heap grows far beyond what is in use.
+    A session with a lower bound keeps it. No result depends on it.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get(BATCH_ROWS)) > TEXT_ROWS:
+        conf.set(BATCH_ROWS, str(TEXT_ROWS))
+    return df
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share: `spark.checkpoint.dir`, else one under the warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None)
